@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..stage import new_path
 from ..text import title_key, word_bag
-from . import records, splits, terms
+from . import language, leakage, packing, records, splits, terms
 
 # The invisible characters, as an RE2 class.
 _WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{00AD}}]', '', 'g')), '[\pL\p{{Nd}}]+')"
@@ -71,6 +71,54 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assigned(groups, {"train": 0.8, "valid": 0.1, "test": 0.1}).join(groups, "component")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(packing.pieces(_table(spark, d, "documents"), "doc_id", packing.byte_tokens(F.col("text"))))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).filter("n_pieces > 1 and piece = 0").select(F.col("id").alias("doc_id"))
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """How full the sequences are: one row by number of full tenths."""
+    bins = _packed(spark, d).groupBy("shard", "bin").agg(F.sum("tokens").alias("tokens"))
+    return bins.groupBy((F.floor(F.col("tokens") * 10 / 8192)).alias("tenths")).agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("tokens").alias("n_tokens"))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_spans(spark, d).select("item_id", "doc_id").distinct()
+
+
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, n_chars_left) of the documents from which passages were cut."""
+    docs, found = _table(spark, d, "documents"), p9_spans(spark, d)
+    touched = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return leakage.without_spans(touched, found).select("doc_id", F.length("text").alias("n_chars_left"))
+
+
+def p10_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return language.segments(docs, language.fitted(docs)).drop("scores", "n_grams")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_paragraphs(spark, d).filter("label is null or lang <> label").select("doc_id", "para_no", "lang")
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    model = language.fitted(docs)
+    return language.document_languages(language.segments(docs, model), model)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
@@ -78,6 +126,15 @@ QUERIES = {
     "p4_splits": p4_splits,
     "p7_found": p7_found,
     "p7_records": p7_records,
+    "p8_found": p8_found,
+    "p8_packing": p8_packing,
+    "p8_sequences": p8_sequences,
+    "p9_found": p9_found,
+    "p9_spans": p9_spans,
+    "p9_cleaned": p9_cleaned,
+    "p10_found": p10_found,
+    "p10_paragraphs": p10_paragraphs,
+    "p10_documents": p10_documents,
 }
 
 ORACLES = {
@@ -97,4 +154,5 @@ select keep as keep_qid, qid as copy_qid from m where keep <> qid""",
     "p7_records": f"""
 with r as (select qid, cast(log_ts as date) as day, list_sort({_words_sql('QueryText')}) as bag from train)
 select min(qid) as keep_qid, count(*) as n_copies from r where day is not null and len(bag) > 0 group by day, bag""",
+    "p8_found": "select doc_id from documents where strlen(text) > 8192",
 }
