@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..stage import new_path
 from ..text import title_key, word_bag
-from . import language, leakage, packing, records, splits, terms
+from . import canonical, language, leakage, overlap, packing, records, splits, terms
 
 # The invisible characters, as an RE2 class.
 _WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{00AD}}]', '', 'g')), '[\pL\p{{Nd}}]+')"
@@ -39,6 +39,40 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_terms(spark, d).filter("mark is not null").select("term", "mark")
 
 
+def p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, split, source, kind) of the evaluation rows that training holds."""
+    train = _table(spark, d, "train").filter("split is not null").withColumn("is_eval", F.col("split") != "train")
+    rows = overlap.canonical_rows(train, "QueryText", ["qid", "split", "source", "is_eval"])
+    return overlap.eval_rows(rows, overlap.overlapping(rows)).select("qid", "split", "source", "kind")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_rows(spark, d).select("qid")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return p5_rows(spark, d).groupBy("split", "source", "kind").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def p6_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, value, whole, ord, score) of all rows whose title or query needs mapping; null ord: no entry."""
+    train, catalog = _table(spark, d, "train"), _table(spark, d, "title_catalog")
+    entries = catalog.select("ord", "title", F.concat(F.array("title"), F.coalesce("variants", F.array().cast("array<string>"))).alias("spellings"))
+    whole = F.col("Title").isNotNull()
+    value = F.when(whole, title_key(F.col("Title"))).when(F.col("TypeQuery") == 1, F.col("QueryText"))
+    return canonical.mapped(train, "qid", value, whole, entries, F.lower("title")).withColumnRenamed("id", "qid")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = p6_mapped(spark, d).filter("whole or ord is not null")
+    return rows.select(F.coalesce("ord", F.lit(-1).cast("long")).alias("ord"), "qid")
+
+
+def p6_unlisted(spark: SparkSession, d: str) -> DataFrame:
+    """(value, n_rows): the title keys that mean no entry."""
+    return p6_mapped(spark, d).filter("whole and ord is null").groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def _p7_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "train").select("qid", "QueryText", F.to_date("log_ts").alias("day")).filter(F.col("day").isNotNull() & word_bag(F.col("QueryText")).isNotNull())
     return records.rooted(rows, F.struct("day", "QueryText"), ["QueryText"])
@@ -124,6 +158,12 @@ QUERIES = {
     "p1_terms": p1_terms,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
+    "p5_found": p5_found,
+    "p5_rows": p5_rows,
+    "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_mapped": p6_mapped,
+    "p6_unlisted": p6_unlisted,
     "p7_found": p7_found,
     "p7_records": p7_records,
     "p8_found": p8_found,

@@ -10,9 +10,6 @@ ON_KEYS = "ёйцукенгшщзхъфывапролджэячсмитьбюё
 # Latin letters (and one digit) that look like the Cyrillic ones below them.
 LOOKS = "aceopxykmhtbiu3"
 LOOKED = "асеорхукмнтвіи3"
-# Rows of neighbouring keys of the Russian and the Latin keyboard.
-RU_ROWS = ("йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю")
-EN_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 # Latin spellings of Russian letters; the first is the commonest, the others are found as well.
 LATIN = {
     "а": ("a",), "б": ("b",), "в": ("v", "w"), "г": ("g",), "д": ("d",), "е": ("e", "ye", "je"), "ё": ("yo", "e", "jo"),
@@ -60,56 +57,34 @@ def all_looked(word: str) -> str | None:
     return turned.replace("ё", "е") if not _LATIN.search(turned) and _LATIN.search(word) else None
 
 
-# The skeleton is what is left where all spellings of LATIN are made equal.
-_MERGE = [("shch", "w"), ("sch", "w"), ("shh", "w"), ("zh", "q"), ("kh", "h"), ("ch", "4"), ("sh", "6"), ("tz", "c"), ("ts", "c"), ("x", "h")]
-_GLIDE = re.compile(r"[yji]+(?=[aou])|[yj](?=e)")
-_TO_LATIN = str.maketrans({k: v[0] for k, v in LATIN.items()} | {"щ": "w", "ж": "q", "х": "h", "ч": "4", "ш": "6", "ц": "c", "й": "i", "ы": "i", "ю": "ÿu", "я": "ÿa", "ё": "e"})
+_TO_LATIN = str.maketrans({k: v[0] for k, v in LATIN.items()} | {"ё": "e"})
+# What the spellings of LATIN leave different, in one pass over Latin letters.
+_SOUNDS = {"shch": "w", "sch": "w", "shh": "w", "zh": "q", "kh": "h", "ch": "4", "sh": "6", "ts": "c", "tz": "c", "x": "h", "'": ""}
+_SOUND = re.compile("|".join(sorted(_SOUNDS, key=len, reverse=True)))
+_GLIDE = re.compile("[yji]+(?=[aeou])")
 
 
 def skeleton(word: str) -> str:
     """The same for a Russian word and all its Latin spellings; distinct words may rarely share it."""
-    if _CYRILLIC.search(word):
-        word = word.translate(_TO_LATIN)
-    else:
-        for a, b in _MERGE:
-            word = word.replace(a, b)
-        word = word.replace("yo", "e").replace("jo", "e")
-        word = _GLIDE.sub("ÿ", word).replace("ÿe", "e").replace("ÿo", "o").replace("y", "i")
-        word = word.replace("j", "i").replace("'", "")
-    return re.sub("i+", "i", re.sub("i*ÿ", "ÿ", word))
-
-
-def _neighbours(rows: tuple[str, ...]) -> dict[str, set[str]]:
-    near: dict[str, set[str]] = {}
-    for r, row in enumerate(rows):
-        for i, c in enumerate(row):
-            beside = {row[j] for j in (i - 1, i + 1) if 0 <= j < len(row)}
-            for other in (r - 1, r + 1):
-                if 0 <= other < len(rows):
-                    beside |= {rows[other][j] for j in (i - 1, i, i + 1) if 0 <= j < len(rows[other])}
-            near[c] = beside
-    return near
-
-
-NEAR = _neighbours(RU_ROWS) | _neighbours(EN_ROWS)
+    word = _SOUND.sub(lambda m: _SOUNDS[m.group()], word.translate(_TO_LATIN))
+    word = _GLIDE.sub("y", word).replace("yo", "e").replace("ye", "e")
+    return re.sub("i+", "i", re.sub("[yj](?![au])", "i", word))
 
 
 def is_slip(a: str, b: str, least: int = 5) -> bool:
     """Whether one slip of the hand makes one word of the other: a letter left out, doubled, swapped with the next, or
-    hit on a neighbouring key. The first letter is never hit wrong, and only a swap reaches the last (there, a changed
-    ending is another word form). Words with digits have no slips, nor do words under ``least`` letters (the longer one
+    hit wrong. The first letter is always right, and only a swap reaches the last (another ending is another word form). Words with digits have no slips, nor do words under ``least`` letters (the longer one
     counts), where a slip is mostly another word."""
     if a == b or abs(len(a) - len(b)) > 1 or max(len(a), len(b)) < least or a[0] != b[0] or any(c.isdigit() for c in a + b):
         return False
     if len(a) == len(b):
         off = [i for i in range(len(a)) if a[i] != b[i]]
         if len(off) == 1:
-            i = off[0]
-            return 0 < i < len(a) - 1 and (b[i] in NEAR.get(a[i], ()) or a[i] in NEAR.get(b[i], ()))
+            return 0 < off[0] < len(a) - 1
         return len(off) == 2 and off[1] == off[0] + 1 and off[0] > 0 and a[off[0]] == b[off[1]] and a[off[1]] == b[off[0]]
     short, long = sorted((a, b), key=len)
     i = next((k for k in range(len(short)) if short[k] != long[k]), len(short))
-    return short[i:] == long[i + 1 :] and (i < len(long) - 1 or long[-1] == long[-2])
+    return short[i:] == long[i + 1 :] and i < len(long) - 1
 
 
 def deletions(word: str, least: int = 5) -> list[str]:
