@@ -21,7 +21,7 @@ from .spelling import transliterations
 LANGUAGES = ("ru", "en", "uk", "be", "kk", "de", "es")
 BITS, ORDERS = 17, (1, 2, 3, 4)
 #: Documents of each label that the model is fitted on, at most.
-SAMPLE = 400
+SAMPLE = 250
 
 _DROP = {ord(c): None for c in "​‌‍⁠﻿­"}
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -54,6 +54,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]])
 
 
+Chunk = tuple[np.ndarray, np.ndarray]
+
+
 class Model:
     """Classes may share a language, as Russian in Cyrillic and in Latin letters do."""
 
@@ -64,20 +67,29 @@ class Model:
         self.fold = np.array([self.order.index(x) for x in self.languages])
 
     @staticmethod
-    def fit(texts: list[str], labels: list[str], alpha: float = 0.1) -> Model:
-        names = sorted(set(labels))
-        counts = np.full((1 << BITS, len(names)), alpha)
-        for k, name in enumerate(names):
-            own = [t for t, x in zip(texts, labels) if x == name]
-            counts[:, k] += np.bincount(features(own)[0], minlength=1 << BITS)
-        return Model(names, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    def fit(chunks: list[Chunk], labels: np.ndarray, use: np.ndarray, alpha: float = 0.1) -> Model:
+        """From the texts that ``use`` marks, given in chunks of features."""
+        names, code = np.unique(labels, return_inverse=True)
+        counts = np.zeros((1 << BITS) * len(names), np.int64)
+        at = 0
+        for grams, starts in chunks:
+            n = len(starts)
+            size = np.diff(np.append(starts, len(grams)))
+            kept = np.repeat(use[at : at + n], size)
+            counts += np.bincount((grams.astype(np.int64) * len(names) + np.repeat(code[at : at + n], size))[kept], minlength=len(counts))
+            at += n
+        smooth = counts.reshape(-1, len(names)) + alpha
+        return Model(list(names), np.log(smooth / smooth.sum(axis=0)).astype(np.float32))
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text in each language, and its number of n-grams."""
-        grams, starts = features(texts)
+        return self.summed(features(texts))
+
+    def summed(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         # texts without a letter are left out by the caller, so no run is empty
+        grams, starts = chunk
         raw = np.add.reduceat(self.log_prob[grams], starts, axis=0, dtype=np.float64)
-        best = np.full((len(texts), len(self.order)), -np.inf)
+        best = np.full((len(starts), len(self.order)), -np.inf)
         for k, to in enumerate(self.fold):
             best[:, to] = np.maximum(best[:, to], raw[:, k])
         return best, np.diff(np.append(starts, len(grams)))
@@ -103,7 +115,7 @@ def fitted(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     labels: list[str] = []
     for label, n in sorted(sizes.items()):
         share = F.pmod("h", F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, 1.2 * sample / n)) + 1)
-        for (t,) in rows.filter((F.col("label") == label) & share).select(F.substring("text", 1, 1 << 30)).limit(sample).collect():
+        for (t,) in rows.filter((F.col("label") == label) & share).select(F.col("text")).limit(sample).collect():
             for p in t.split("\n\n"):
                 p = plain(p)
                 if len(p) > 2:
@@ -114,33 +126,37 @@ def fitted(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     return train(texts, labels)
 
 
-def train(texts: list[str], labels: list[str], rounds: int = 3) -> Model:
-    given = np.array(labels)
-    held = np.arange(len(texts)) % 5 == 0
-
-    def all_classes(texts, labels):
-        latin = [s for t, x in zip(texts, labels) if x == "ru" and re.search("[а-я]", t) for s in transliterations(t)]
-        return texts + latin, list(labels) + ["ru-latin"] * len(latin)
-
+def train(texts: list[str], labels: list[str], rounds: int = 3, step: int = 256) -> Model:
+    """Every fifth text is held out for the temperature; Russian is spelled in Latin letters for a class of its own."""
+    held = [k % 5 == 0 for k in range(len(texts))]
+    given, texts = list(labels), list(texts)
+    for t, x, h in list(zip(texts, labels, held)):
+        if x == "ru" and not h and re.search("[а-я]", t):
+            spelled = transliterations(t)
+            texts += spelled
+            given += ["ru-latin"] * len(spelled)
+    held_out = np.array(held + [False] * (len(texts) - len(held)))
+    label = np.array(given)
+    language = np.array([x[:2] for x in given])
+    chunks = []
+    for a in range(0, len(texts), step):
+        grams, starts = features(texts[a : a + step])
+        chunks.append((grams.astype(np.int32), starts))
     keep = np.ones(len(texts), bool)
     for _ in range(rounds):
-        use = np.flatnonzero(keep & ~held)
-        model = Model.fit(*all_classes([texts[i] for i in use], given[use]))
-        guess = np.array(model.order)[model.scores(texts)[0].argmax(axis=1)]
-        keep = guess == given
-    # temperature: log loss on held-out paragraphs whose label is most likely right
-    test = np.flatnonzero(held & keep)
+        model = Model.fit(chunks, label, keep & ~held_out)
+        scores = np.concatenate([model.summed(c)[0] for c in chunks])
+        keep = np.array(model.order)[scores.argmax(axis=1)] == language
+    # temperature: least log loss on held-out texts whose label is most likely right
+    test = np.flatnonzero(held_out & keep)
     if len(test):
-        s, _ = model.scores([texts[i] for i in test])
-        true = np.array([model.order.index(x) for x in given[test]])
-        best = (np.inf, 1.0)
+        true = np.array([model.order.index(x) for x in language[test]])
+        losses = []
         for t in (1, 2, 4, 8, 16, 32, 64):
             model.temperature = float(t)
-            loss = -np.log(np.maximum(model.probabilities(s)[np.arange(len(test)), true], 1e-12)).mean()
-            best = min(best, (loss, float(t)))
-        model.temperature = best[1]
-    use = np.flatnonzero(keep)
-    final = Model.fit(*all_classes([texts[i] for i in use], given[use]))
+            losses.append((-np.log(np.maximum(model.probabilities(scores[test])[np.arange(len(test)), true], 1e-12)).mean(), float(t)))
+        model.temperature = min(losses)[1]
+    final = Model.fit(chunks, label, keep)
     final.temperature = model.temperature
     return final
 
