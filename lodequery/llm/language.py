@@ -23,45 +23,47 @@ BITS, ORDERS = 17, (1, 2, 3, 4)
 #: Documents of each label that the model is fitted on, at most.
 SAMPLE = 250
 
-_DROP = {ord(c): None for c in "​‌‍⁠﻿­"}
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def plain(text: str) -> str:
     """Lower-case letters in composed form, everything between them one space."""
-    return " " + _NOT_LETTERS.sub(" ", unicodedata.normalize("NFC", text.translate(_DROP)).lower()).strip() + " "
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return " " + _NOT_LETTERS.sub(" ", _INVISIBLE.sub("", text).lower()).strip().ljust(max(ORDERS) - 2) + " "
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-grams of all texts one after the other, where each text begins). Every text has at least one letter."""
-    joined = "".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+Chunk = list[tuple[np.ndarray, np.ndarray]]
+
+
+def features(texts: list[str]) -> Chunk:
+    """For each order of n-grams: the hashed n-grams of all texts one after the other, and where each text begins. Every
+    text has at least as many characters as the greatest order."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in texts])
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    at = np.arange(len(codes))
-    grams, owner = [], []
-    whose = np.repeat(np.arange(len(texts)), sizes)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    out = []
     h = np.zeros(len(codes), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         h = h[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
         if n in ORDERS:
-            inside = at[: len(h)] + n <= ends[: len(h)]
-            mixed = h * np.uint64(0x9E3779B97F4A7C15)
-            grams.append((mixed >> np.uint64(64 - BITS)).astype(np.int64)[inside])
-            owner.append(whose[: len(h)][inside])
-    grams, owner = np.concatenate(grams), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return grams[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]])
-
-
-Chunk = tuple[np.ndarray, np.ndarray]
+            grams = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
+            inside = np.ones(len(grams), bool)
+            for k in range(1, n):
+                across = ends[:-1] - k
+                inside[across] = False
+            out.append((grams[inside], begins - np.arange(len(texts)) * (n - 1)))
+    return out
 
 
 class Model:
     """Classes may share a language, as Russian in Cyrillic and in Latin letters do."""
 
     def __init__(self, names: list[str], log_prob: np.ndarray, temperature: float = 1.0):
-        self.names, self.log_prob, self.temperature = names, log_prob, temperature
+        self.names, self.temperature = names, temperature
+        self.columns = np.ascontiguousarray(log_prob.T)
         self.languages = [n[:2] for n in names]
         self.order = sorted(set(self.languages))
         self.fold = np.array([self.order.index(x) for x in self.languages])
@@ -72,11 +74,12 @@ class Model:
         names, code = np.unique(labels, return_inverse=True)
         counts = np.zeros((1 << BITS) * len(names), np.int64)
         at = 0
-        for grams, starts in chunks:
-            n = len(starts)
-            size = np.diff(np.append(starts, len(grams)))
-            kept = np.repeat(use[at : at + n], size)
-            counts += np.bincount((grams.astype(np.int64) * len(names) + np.repeat(code[at : at + n], size))[kept], minlength=len(counts))
+        for chunk in chunks:
+            n = len(chunk[0][1])
+            for grams, starts in chunk:
+                size = np.diff(np.append(starts, len(grams)))
+                kept = np.repeat(use[at : at + n], size)
+                counts += np.bincount((grams.astype(np.int64) * len(names) + np.repeat(code[at : at + n], size))[kept], minlength=len(counts))
             at += n
         smooth = counts.reshape(-1, len(names)) + alpha
         return Model(list(names), np.log(smooth / smooth.sum(axis=0)).astype(np.float32))
@@ -86,13 +89,16 @@ class Model:
         return self.summed(features(texts))
 
     def summed(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        # texts without a letter are left out by the caller, so no run is empty
-        grams, starts = chunk
-        raw = np.add.reduceat(self.log_prob[grams], starts, axis=0, dtype=np.float64)
+        raw, n_grams = np.zeros((len(chunk[0][1]), len(self.names))), 0
+        for grams, starts in chunk:
+            for k, column in enumerate(self.columns):
+                raw[:, k] += np.add.reduceat(column[grams], starts)
+            n_grams = n_grams + np.diff(np.append(starts, len(grams)))
+        starts = chunk[0][1]
         best = np.full((len(starts), len(self.order)), -np.inf)
         for k, to in enumerate(self.fold):
             best[:, to] = np.maximum(best[:, to], raw[:, k])
-        return best, np.diff(np.append(starts, len(grams)))
+        return best, n_grams
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         z = (scores - scores.max(axis=1, keepdims=True)) / self.temperature
@@ -118,7 +124,7 @@ def fitted(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
         for (t,) in rows.filter((F.col("label") == label) & share).select(F.col("text")).limit(sample).collect():
             for p in t.split("\n\n"):
                 p = plain(p)
-                if len(p) > 2:
+                if p.strip():
                     texts.append(p)
                     labels.append(label)
     if not texts:
@@ -140,8 +146,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 3, step: int = 256)
     language = np.array([x[:2] for x in given])
     chunks = []
     for a in range(0, len(texts), step):
-        grams, starts = features(texts[a : a + step])
-        chunks.append((grams.astype(np.int32), starts))
+        chunks.append(features(texts[a : a + step]))
     keep = np.ones(len(texts), bool)
     for _ in range(rounds):
         model = Model.fit(chunks, label, keep & ~held_out)
@@ -177,7 +182,7 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
             for d, x, t in zip(b["doc_id"], b["label"], b["text"]):
                 for k, p in enumerate(t.split("\n\n")):
                     p = plain(p)
-                    if len(p) > 2:
+                    if p.strip():
                         doc.append(d)
                         label.append(x)
                         no.append(k)

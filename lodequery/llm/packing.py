@@ -100,6 +100,7 @@ def packed(items: DataFrame, capacity: int = 8192, max_segments: int = 128, max_
         demand = np.column_stack([shard["tokens"], np.ones(len(shard)), shard["loss"]]).astype(float)
         return shard.assign(bin=fill(demand, limits))
 
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    # shards are heavy for their bytes: a fixed number of partitions keeps them from being merged into one task
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).repartition(min(shards, 20_000), "shard")
     schema = dealt.withColumn("bin", F.lit(0).cast("long")).schema
     return full.unionByName(dealt.groupBy("shard").applyInPandas(pack, schema))
