@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..stage import new_path
 from ..text import title_key, word_bag
-from . import canonical, language, leakage, overlap, packing, records, splits, terms
+from . import canonical, language, leakage, linkage, overlap, packing, records, splits, terms
 
 # The invisible characters, as an RE2 class.
 _WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{00AD}}]', '', 'g')), '[\pL\p{{Nd}}]+')"
@@ -86,6 +86,34 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return records.collapsed(_p7_rows(spark, d), "qid").select(F.col("keep").alias("keep_qid"), F.col("n_rows").alias("n_copies"))
 
 
+def _year(c: str):
+    return F.try_to_number(F.regexp_extract(c, r"((?:19|20)\d\d)", 1), F.lit("9999")).cast("int")
+
+
+def p2_references(spark: SparkSession, d: str) -> DataFrame:
+    """(ref, source, titles, year, kind) of the three sources; one row for each distinct title key of train."""
+    films, top, train = _table(spark, d, "enriched_films"), _table(spark, d, "kinopoisk_top250"), _table(spark, d, "train")
+    none = F.lit(None)
+    original = F.nullif(F.regexp_extract("description", r"Ориг\. название: ([^.]+)", 1), F.lit(""))
+    e = films.select(F.concat(F.lit("e:"), F.col("film_id")).alias("ref"), F.lit("e").alias("source"), F.array("title_ru", "title_en").alias("titles"), _year("Year").alias("year"), none.cast("string").alias("kind"))
+    k = top.select(F.concat(F.lit("k:"), F.col("kp_id")).alias("ref"), F.lit("k").alias("source"), F.array("movie", original).alias("titles"), _year("year").alias("year"), none.cast("string").alias("kind"))
+    # the year that a title's queries name most often, the least of several
+    typed = train.select(title_key(F.col("Title")).alias("title"), _year("QueryText").alias("said")).filter("title is not null")
+    typed = typed.groupBy("title", "said").agg(F.count(F.lit(1)).alias("n"))
+    t = typed.groupBy("title").agg(F.min(F.when(F.col("said").isNotNull(), F.struct((-F.col("n")).alias("n"), "said"))).alias("most"))
+    own = F.coalesce(_year("title"), F.col("most.said"))
+    t = t.select(F.concat(F.lit("t:"), F.col("title")).alias("ref"), F.lit("t").alias("source"), F.array("title").alias("titles"), own.alias("year"), none.cast("string").alias("kind"))
+    return e.unionByName(k).unionByName(t)
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.linked(linkage.prepared(p2_references(spark, d)))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pairs(spark, d).select("ref_a", "ref_b")
+
+
 def _p4(spark: SparkSession, d: str) -> DataFrame:
     train = _table(spark, d, "train")
     slices, found = splits.grouped(train, "qid", [title_key(F.col("Title")), word_bag(F.col("QueryText"))], ["split"])
@@ -156,6 +184,8 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p5_found": p5_found,

@@ -39,7 +39,7 @@ def joins(word: str) -> bool:
     return word in JOINING or bool(_LATIN.match(word)) and sp.skeleton(word) in _JOINING_SOUNDS
 
 
-def stands_around(word: str) -> bool:
+def stand_alone(word: str) -> bool:
     return word in AROUND or bool(_LATIN.match(word)) and sp.skeleton(word) in _AROUND_SOUNDS
 
 
@@ -200,7 +200,7 @@ class Reference:
     def candidates(self, words: list[str]) -> list[tuple[float, int, dict[int, str]]]:
         """(soft TF-IDF, form, token positions used) of the forms all of whose words are among the tokens."""
         repairs = [self.repaired(w) for w in words]
-        norm = sum(max([self.idf[r] for r in m], default=0 if joins(w) or stands_around(w) else self.unknown) ** 2 for w, m in zip(words, repairs)) or 1.0
+        norm = sum(max([self.idf[r] for r in m], default=0 if joins(w) or stand_alone(w) else self.unknown) ** 2 for w, m in zip(words, repairs)) or 1.0
         per: dict[int, dict[str, tuple[float, int]]] = defaultdict(dict)
         for at, m in enumerate(repairs):
             for r, sim in m.items():
@@ -233,7 +233,7 @@ class Reference:
             for score, k, used in self.candidates(left):
                 i, form, n, latin = self.forms[k]
                 rest = [w for at, w in enumerate(left) if at not in used]
-                if n != number or any(not joins(w) and not stands_around(w) for w in rest) or len(used) != len(form):
+                if n != number or any(not joins(w) and not stand_alone(w) for w in rest) or len(used) != len(form):
                     continue
                 ordered = self._ordered(k, used)
                 if latin and not ordered:
