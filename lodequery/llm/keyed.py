@@ -21,6 +21,7 @@ from . import spelling as sp
 #: Vocabulary keys that are broadcast at most (about 150 bytes each in a worker); a larger vocabulary is joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 _HAS_LATIN = re.compile("[a-z]")
+_CHUNK = re.compile(r"([a-z0-9\[\];',.`{}:\"<>~]+)")
 _PUNCTUATION = re.compile(r"[\[\];',.`{}:\"<>~]")
 
 
@@ -69,36 +70,53 @@ def lookups(text: str) -> list[str]:
     return sorted(out)
 
 
+class Meaning:
+    """The words meant by texts. ``get`` gives the Cyrillic word of a vocabulary key or None. What was found for a word or
+    a part between spaces is remembered."""
+
+    def __init__(self, get: Callable[[str], str | None], remember: int = 300_000):
+        self.get, self.remember = get, remember
+        self.parts: dict[str, tuple] = {}
+
+    def part(self, part: str) -> tuple[list[str], list[str], list[str], list[str], int, int, int]:
+        """(typed, spelled, alike, keyed) words of a part without spaces, and the letters that each of the last three explains."""
+        if (hit := self.parts.get(part)) is not None:
+            return hit
+        get = self.get
+        typed = [sp.looked(w) for w in sp._WORD.findall(part)]
+        if not any(map(_HAS_LATIN.search, typed)):
+            out = (typed, typed, typed, typed, 0, 0, 0)
+        else:
+            spelled, looks, keyed, solved = [], [], [], 0
+            for w in typed:
+                latin = _HAS_LATIN.search(w)
+                spelled.append((get("t:" + w) or get("s:" + sp.skeleton(w)) if latin and not w[0].isdigit() else None) or w)
+                a = sp.all_looked(w) if latin else None
+                looks.append((get("w:" + a) if a else None) or w)
+            for chunk in _CHUNK.split(part):
+                best = None
+                if _HAS_LATIN.search(chunk) and sp._KEYED.fullmatch(chunk):
+                    best = next((r for r in _key_readings(chunk) if r and all(w.isdigit() or get("w:" + w) for w in r)), None)
+                keyed += best if best is not None else [sp.looked(w) for w in sp._WORD.findall(chunk)]
+                solved += sum(len(w) for w in best if not w.isdigit()) if best else 0
+            differ = lambda words: sum(len(a) for a, b in zip(typed, words) if a != b)
+            out = (typed, spelled, looks, keyed, differ(spelled), differ(looks), solved)
+        if len(self.parts) < self.remember:
+            self.parts[part] = out
+        return out
+
+    def words(self, text: str) -> list[str]:
+        """The words meant, in order."""
+        parts = [self.part(p) for p in sp.clean(text).split()]
+        spelled, looks, keyed = (sum(p[k] for p in parts) for k in (4, 5, 6))
+        if keyed > max(spelled, looks):
+            return [w for p in parts for w in p[3]]
+        first, second = (1, 2) if spelled > looks else (2, 1)
+        return [a if a != w else b for p in parts for w, a, b in zip(p[0], p[first], p[second])]
+
+
 def meant(text: str, get: Callable[[str], str | None]) -> list[str]:
-    """The words meant, in order. ``get`` gives the Cyrillic word of a vocabulary key or None."""
-    text = sp.clean(text)
-    raw = [sp.looked(w) for w in sp._WORD.findall(text)]
-    if not any(map(_HAS_LATIN.search, raw)):
-        return raw
-    spelled, looks = [], []
-    for w in raw:
-        latin = _HAS_LATIN.search(w)
-        spelled.append((get("t:" + w) or get("s:" + sp.skeleton(w)) if latin and not w[0].isdigit() else None) or w)
-        a = sp.all_looked(w) if latin else None
-        looks.append((get("w:" + a) if a else None) or w)
-    keyed, solved_keys = [], 0
-    for part in re.split(r"(\s+)", text):
-        if not _HAS_LATIN.search(part):
-            keyed += [sp.looked(w) for w in sp._WORD.findall(part)]
-            continue
-        best = None
-        for chunk in re.split(r"([a-z0-9\[\];',.`{}:\"<>~]+)", part):
-            if not _HAS_LATIN.search(chunk) or not sp._KEYED.fullmatch(chunk):
-                keyed += [sp.looked(w) for w in sp._WORD.findall(chunk)]
-                continue
-            best = next((r for r in _key_readings(chunk) if r and all(w.isdigit() or get("w:" + w) for w in r)), None)
-            keyed += best if best is not None else [sp.looked(w) for w in sp._WORD.findall(chunk)]
-            solved_keys += sum(len(w) for w in best if not w.isdigit()) if best else 0
-    solved = {"s": sum(len(a) for a, b in zip(raw, spelled) if a != b), "l": sum(len(a) for a, b in zip(raw, looks) if a != b)}
-    if solved_keys > max(solved.values()):
-        return keyed
-    first, second = (spelled, looks) if solved["s"] > solved["l"] else (looks, spelled)
-    return [a if a != w else b for w, a, b in zip(raw, first, second)]
+    return Meaning(get).words(text)
 
 
 def canonical(df: DataFrame, text: str, vocab: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -107,16 +125,17 @@ def canonical(df: DataFrame, text: str, vocab: DataFrame, broadcast_keys: int =
     is broadcast; a larger one is joined to the exploded keys of those texts."""
     spark = df.sparkSession
     latin = F.lower(F.col(text)).rlike("[a-z]")
-    plain = F.transform(words(F.col(text)), lambda w: F.translate(w, "ё", "е"))
+    plain = words(F.translate(F.col(text), "ёЁ", "ее"))
     rest = df.filter(F.col(text).isNull() | ~latin).withColumn("meant", plain)
     hard = df.filter(latin)
     if vocab.count() <= broadcast_keys:
         table = spark.sparkContext.broadcast(dict(vocab.select("key", "word").toPandas().itertuples(index=False)))
 
         @F.pandas_udf("array<string>")
-        def by_table(texts: pd.Series) -> pd.Series:
-            get = table.value.get
-            return texts.map(lambda t: meant(t, get))
+        def by_table(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            words = Meaning(table.value.get).words
+            for texts in batches:
+                yield texts.map(words)
 
         return rest.unionByName(hard.withColumn("meant", by_table(text)))
 

@@ -24,6 +24,7 @@ from . import spelling as sp
 #: Words with slips that are broadcast at most; more are joined to the exploded words of the records.
 BROADCAST_WORDS = 1_000_000
 SLIPS = 2
+_FIELDS = ("h", "level", "word", "twice")
 KEYS = "array<struct<h: string, level: int, word: string, twice: boolean>>"
 
 
@@ -47,8 +48,11 @@ def slip_pairs(counts: DataFrame) -> DataFrame:
 
 
 def reachable(bag: list[str], ups: dict[str, list[str]], slips: int = SLIPS) -> list[tuple[str, int, str, bool]]:
-    """(words, replacements, word put in if one, whether the result has it twice) for up to ``slips`` replacements."""
-    best: dict[str, tuple[int, str, bool]] = {" ".join(bag): (0, "", False)}
+    """(words, replacements, word put in if one, whether the result has it twice) for one to ``slips`` replacements."""
+    if not any(w in ups for w in bag):
+        return []
+    own = " ".join(bag)
+    best: dict[str, tuple[int, str, bool]] = {own: (0, "", False)}
     stack = [(bag, 0, 0)]
     while stack:
         now, at, level = stack.pop()
@@ -60,7 +64,7 @@ def reachable(bag: list[str], ups: dict[str, list[str]], slips: int = SLIPS) ->
                     best[key] = (level + 1, u if level == 0 else "", new.count(u) > 1)
                 if level + 1 < slips:
                     stack.append((new, i + 1, level + 1))
-    return [(k, *v) for k, v in best.items()]
+    return [(k, *v) for k, v in best.items() if k != own]
 
 
 def with_keys(bags: DataFrame, pairs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -70,14 +74,16 @@ def with_keys(bags: DataFrame, pairs: DataFrame, broadcast_words: int = BROADCAS
         table = spark.sparkContext.broadcast({w: sorted(u) for w, u in pairs.toPandas().itertuples(index=False)})
 
         @F.pandas_udf(KEYS)
-        def by_table(bag: pd.Series) -> pd.DataFrame:
-            return bag.map(lambda b: [dict(zip(("h", "level", "word", "twice"), x)) for x in reachable(b.split(" "), table.value)])
+        def by_table(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            ups = table.value
+            for bags in batches:
+                yield bags.map(lambda b: [dict(zip(_FIELDS, x)) for x in reachable(b.split(" "), ups)])
 
         return bags.withColumn("keys", by_table("bag"))
 
     @F.pandas_udf(KEYS)
-    def by_hits(bag: pd.Series, words: pd.Series, ups: pd.Series) -> pd.DataFrame:
-        return pd.Series([[dict(zip(("h", "level", "word", "twice"), x)) for x in reachable(b.split(" "), {} if w is None else {a: sorted(u) for a, u in zip(w, ups)})] for b, w, ups in zip(bag, words, ups)])
+    def by_hits(bag: pd.Series, words: pd.Series, ups: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(_FIELDS, x)) for x in reachable(b.split(" "), {} if w is None else {a: sorted(u) for a, u in zip(w, ups)})] for b, w, ups in zip(bag, words, ups)])
 
     hits = bags.select("bag", F.explode(F.array_distinct(F.split("bag", " "))).alias("word")).join(pairs, "word").groupBy("bag").agg(F.collect_list("word").alias("w"), F.collect_list("ups").alias("u"))
     return bags.join(hits, "bag", "left").withColumn("keys", by_hits("bag", "w", "u")).drop("w", "u")
@@ -99,8 +105,9 @@ def overlapping(rows: DataFrame, is_eval: str = "is_eval") -> DataFrame:
     counts = bags.select(F.explode(F.split("bag", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     pairs = written(slip_pairs(counts), "slips")
     same = bags.filter("n_rows > 0 and n_train > 0").select("bag", "n_rows", F.lit("same").alias("kind"))
-    each = with_keys(bags, pairs).select("bag", "n_rows", "n_train", F.explode("keys").alias("k")).select("bag", "n_rows", "n_train", F.xxhash64("k.h").alias("hash"), "k.*")
-    each = written(each.drop("h"), "keys")
+    replaced = with_keys(bags, pairs).select("bag", "n_rows", "n_train", F.explode("keys").alias("k")).select("bag", "n_rows", "n_train", F.xxhash64("k.h").alias("hash"), "k.level", "k.word", "k.twice")
+    own = bags.select("bag", "n_rows", "n_train", F.xxhash64("bag").alias("hash"), F.lit(0).alias("level"), F.lit("").alias("word"), F.lit(False).alias("twice"))
+    each = written(replaced, "keys").unionByName(own)
     one = F.col("level") == 1
     train = each.filter("n_train > 0").groupBy("hash").agg(
         F.min("level").alias("fewest"), F.min(F.when(one, F.xxhash64("word"))).alias("low"), F.max(F.when(one, F.xxhash64("word"))).alias("high"))
