@@ -189,7 +189,16 @@ def _window(short: str, long: str) -> tuple[float, int, int, int, int]:
     return best
 
 
+def _partial_bound(a: str, b: str) -> float:
+    """No partial ratio of two strings is greater: letters they share, at most that many in a row of the shorter one."""
+    n = min(len(a), len(b))
+    common = sum(min(a.count(c), b.count(c)) for c in set(a))
+    return 200.0 * min(common, n) / (n + min(common, n)) if n and common else 0.0
+
+
 def partial_ratio(a: str, b: str, cutoff: float = 0) -> float:
+    if cutoff > 0 and a and b and _partial_bound(a, b) < cutoff:
+        return 0.0
     found = partial_ratio_alignment(a, b, cutoff)
     return found[0] if found else 0.0
 
@@ -236,9 +245,9 @@ def partial_token_ratio(a: str, b: str, cutoff: float = 0) -> float:
     both, only_a, only_b = _sides(a, b)
     if both:
         return 100.0
-    score = partial_token_sort_ratio(a, b)
+    score = partial_token_sort_ratio(a, b, cutoff)
     if len(_words(a)) != len(set(_words(a))) or len(_words(b)) != len(set(_words(b))):
-        score = max(score, partial_ratio(only_a, only_b))
+        score = max(score, partial_ratio(only_a, only_b, cutoff))
     return _cut(score, cutoff)
 
 
@@ -251,7 +260,8 @@ def weighted_ratio(a: str, b: str, cutoff: float = 0) -> float:
     if apart < 1.5:
         return _cut(max(score, token_ratio(a, b) * 0.95), cutoff)
     scale = 0.9 if apart <= 8 else 0.6
-    return _cut(max(score, partial_ratio(a, b) * scale, partial_token_ratio(a, b) * 0.95 * scale), cutoff)
+    score = max(score, partial_ratio(a, b, max(score, cutoff) / scale - 1e-9) * scale)
+    return _cut(max(score, partial_token_ratio(a, b, max(score, cutoff) / scale / 0.95 - 1e-9) * 0.95 * scale), cutoff)
 
 
 def quick_ratio(a: str, b: str, cutoff: float = 0) -> float:
@@ -433,8 +443,7 @@ def column(name: str, cutoff: float | None = None) -> Callable[[Column, Column],
                 out.append(0.0 if family else None)
                 continue
             if (x, y) not in known:
-                value = float(score(x, y))
-                known[x, y] = 0.0 if cutoff is not None and family and value < cutoff else value
+                known[x, y] = float(score(x, y, cutoff) if cutoff is not None and family else score(x, y))
             out.append(known[x, y])
         return pd.Series(out, dtype="float64")
 

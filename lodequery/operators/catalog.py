@@ -113,7 +113,7 @@ def similar_pairs(titles: DataFrame, least: float = 85.0, inside: float = 70.0)
     kept = written(ranked.filter(F.col("place") <= F.col("all") - certain + 1).select("ord", "title", "gram"), "rare-pairs")
     a, b = kept.alias("a"), kept.alias("b")
     near = (F.least(F.length("a.title"), F.length("b.title")) * 200) >= (F.length("a.title") + F.length("b.title")) * F.least(F.lit(least), F.lit(inside))
-    met = a.join(b, "gram").filter((F.col("a.ord") < F.col("b.ord")) & near).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.col("a.title").alias("x"), F.col("b.title").alias("y")).distinct()
+    met = a.join(b, "gram").filter((F.col("a.ord") < F.col("b.ord")) & near).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.col("a.title").alias("x"), F.col("b.title").alias("y")).distinct().repartition(2 * titles.sparkSession.sparkContext.defaultParallelism)
     score, holds = scorers.column("ratio")(F.col("x"), F.col("y")), F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
     return met.withColumn("score", score).filter((F.col("score") >= least) | ((F.col("score") >= inside) & holds)).select("i", "j")
 

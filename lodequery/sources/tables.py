@@ -16,7 +16,7 @@ PREDICTIONS = T.StructType([T.StructField("QueryText", T.StringType()), T.Struct
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A CSV file with a header in UTF-8, with or without a byte order mark, by column name: columns may stand in any order,
     further ones are ignored, and a missing one is an error. Quoted fields may hold line breaks."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.options(header=True, multiLine=True, lineSep="\n", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     names = {c.lstrip("﻿"): c for c in raw.columns}
     if missing := [f.name for f in schema.fields if f.name not in names]:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
@@ -24,7 +24,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def first_existing(spark: SparkSession, paths: list[str], schema: T.StructType, rows: int = 10, otherwise: list[tuple] | None = None) -> DataFrame:
