@@ -168,7 +168,7 @@ def aligned(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int
         new = d + differ[k - 1 : k - 1 + live]
         new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)
         d = np.minimum.accumulate(new - slope, axis=1) + slope
-        if k >= LEAST and (good := d <= k // ONE_IN).any():
+        if k >= LEAST and (good := (d <= k // ONE_IN) & (d == d.min(axis=1, keepdims=True))).any():
             i, o = np.nonzero(good)
             ends = i + k + offsets[o]
             fits = (ends >= 0) & (ends <= len(doc) + k // ONE_IN)
@@ -176,7 +176,11 @@ def aligned(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int
                 begins = np.maximum(0, ends[fits] - k)
                 lo = int(begins.min()) if lo is None else min(lo, int(begins.min()))
                 hi = int(ends[fits].max()) if hi is None else max(hi, int(ends[fits].max()))
-    return None if lo is None else (lo, min(hi, len(doc)))
+    if lo is None:
+        return None
+    # edits at its ends may have carried the span a few words too far
+    inner = np.flatnonzero(np.isin(doc[lo : min(hi, len(doc))], item))
+    return lo + int(inner[0]), lo + int(inner[-1]) + 1
 
 
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

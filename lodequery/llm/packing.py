@@ -35,9 +35,8 @@ def tokenizer_tokens(df: DataFrame, text: str, path: str, name: str = "tokens")
         tok.encode_special_tokens = True
         for b in batches:
             there = b[text].notna()
-            n = pd.Series(pd.NA, index=b.index, dtype="Int64")
-            n[there] = [len(e.ids) for e in tok.encode_batch(b.loc[there, text].tolist(), add_special_tokens=False)]
-            yield b.assign(**{name: n})
+            n = iter(len(e.ids) for e in tok.encode_batch(b.loc[there, text].tolist(), add_special_tokens=False))
+            yield b.assign(**{name: pd.Series([next(n) if x else None for x in there], index=b.index, dtype="Int64")})
 
     from pyspark.sql.types import LongType, StructType
 

@@ -165,7 +165,7 @@ class Reference:
                     out.setdefault(w, 0.97)
             if latin and (a := sp.all_looked(token)) in self.known:
                 out.setdefault(a, 0.97)
-            if "~" + stem(sound) in self.known:
+            if latin and "~" + stem(sound) in self.known:
                 out.setdefault("~" + stem(sound), 0.95)
             for k in sp.deletions(token):
                 for w in self.near.get(k, ()):
