@@ -149,8 +149,8 @@ def _kind_model(s: SparkSession, d: str) -> DataFrame:
 def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "labelled-csv")
     rows = _train(s, d).select("QueryText", "TypeQuery", "Title", "ContentType").filter("QueryText is not null")
-    tables.write_csv(rows, path)
-    return tables.read_csv(s, path, tables.LABELLED).groupBy("TypeQuery").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("QueryText").alias("n_queries"), F.count("Title").alias("n_titles"))
+    tables.write_csv(rows, path, "\\N")
+    return tables.read_csv(s, path, tables.LABELLED, "\\N").groupBy("TypeQuery").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("QueryText").alias("n_queries"), F.count("Title").alias("n_titles"))
 
 
 def _translated(s: SparkSession, d: str) -> DataFrame:

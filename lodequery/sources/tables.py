@@ -13,18 +13,20 @@ FILMS = T.StructType([T.StructField(c, T.StringType()) for c in ("title_ru", "ti
 PREDICTIONS = T.StructType([T.StructField("QueryText", T.StringType()), T.StructField("TypeQuery", T.IntegerType(), False), T.StructField("Title", T.StringType(), False), T.StructField("ContentType", T.StringType(), False)])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, null: str = "") -> DataFrame:
     """A CSV file with a header in UTF-8, with or without a byte order mark, by column name: columns may stand in any order,
-    further ones are ignored, and a missing one is an error. Quoted fields may hold line breaks."""
-    raw = spark.read.options(header=True, multiLine=True, lineSep="\n", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    further ones are ignored, and a missing one is an error. Quoted fields may hold line breaks. ``null`` is how null is written;
+    by default, empty fields are null."""
+    raw = spark.read.options(header=True, multiLine=True, lineSep="\n", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue=null, emptyValue="").csv(path)
     names = {c.lstrip("﻿"): c for c in raw.columns}
     if missing := [f.name for f in schema.fields if f.name not in names]:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     return raw.select(*[F.col(f"`{names[f.name]}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+def write_csv(df: DataFrame, path: str, null: str = "") -> None:
+    """A header and rows in UTF-8. With a ``null`` of its own, null and empty strings stay apart."""
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue=null).csv(path)
 
 
 def first_existing(spark: SparkSession, paths: list[str], schema: T.StructType, rows: int = 10, otherwise: list[tuple] | None = None) -> DataFrame:
