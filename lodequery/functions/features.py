@@ -38,9 +38,10 @@ def _number(norm: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract(norm, pattern, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def columns(raw: Column) -> dict[str, Column]:
-    """The 18 features by name, in order; flags are 0 or 1."""
-    text, norm = F.coalesce(raw, F.lit("")), normalize(raw)
+def columns(raw: Column, norm: Column | None = None) -> dict[str, Column]:
+    """The 18 features by name, in order; flags are 0 or 1. ``norm``: a column that already holds the normal form, which
+    some 200 markers are looked up in; without one, each would normalise the text again."""
+    text, norm = F.coalesce(raw, F.lit("")), normalize(raw) if norm is None else norm
     video, other = markers_in(norm, L.VIDEO_MARKERS), markers_in(norm, L.OTHER_MARKERS)
     digits = F.regexp_count(text, F.lit(r"\p{Nd}"))
     values = [
@@ -50,9 +51,9 @@ def columns(raw: Column) -> dict[str, Column]:
     return {k: v.cast("bigint") for k, v in zip(KEYS, values)}
 
 
-def vector(raw: Column) -> Column:
+def vector(raw: Column, norm: Column | None = None) -> Column:
     """The features as an array of doubles."""
-    return F.array(*[c.cast("double") for c in columns(raw).values()])
+    return F.array(*[c.cast("double") for c in columns(raw, norm).values()])
 
 
 def heuristic_type(raw: Column) -> Column:

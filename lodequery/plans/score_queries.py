@@ -68,8 +68,8 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _share_score(c):
-    """A score from 0 to 1 for the sweep: the share of video signals among all signals found."""
-    low = F.lower(F.coalesce(c, F.lit("")))
+    """A score from 0 to 1 for the sweep: the share of video signals among all signals found in a lower-case text."""
+    low = c
     video, other = feat.markers_in(low, L.VIDEO_SIGNALS), feat.markers_in(low, L.OTHER_SIGNALS)
     return F.when(video + other > 0, video / (video + other)).otherwise(0.5)
 
@@ -104,7 +104,7 @@ QUERIES = {
     "class_f1": lambda s, d: evaluation.class_f1(_predictions(s, d).filter("truth = 1"), "type", "guess").withColumn("f1", F.round("f1", 6)),
     "token_f1": lambda s, d: _predictions(s, d).filter("truth = 1").select("qid", F.round(evaluation.token_f1(F.col("title"), F.col("span")), 6).alias("f1")),
     "combined": _combined,
-    "threshold_sweep": lambda s, d: evaluation.threshold_sweep(table(s, d, "train").select("TypeQuery", _share_score(F.col("QueryText")).alias("score")), "TypeQuery", "score").withColumn("f_beta", F.round("f_beta", 6)),
+    "threshold_sweep": lambda s, d: evaluation.threshold_sweep(table(s, d, "train").select("TypeQuery", F.lower(F.coalesce("QueryText", F.lit(""))).alias("low")).select("TypeQuery", _share_score(F.col("low")).alias("score")), "TypeQuery", "score").withColumn("f_beta", F.round("f_beta", 6)),
     "split_average": lambda s, d: _predictions(s, d).filter("truth = 1").groupBy("source").agg(F.round(F.avg(evaluation.token_f1(F.col("title"), F.col("span"))), 6).alias("title_f1"), F.count(F.when(F.col("predicted") == 0, 1)).alias("missed")),
     "error_list": lambda s, d: _predictions(s, d).filter("truth <> predicted").orderBy("qid").limit(50).select("qid", "truth", "predicted", "span"),
     "stratified_split": lambda s, d: evaluation.stratified(table(s, d, "train"), "qid", "TypeQuery", 0.15).groupBy("TypeQuery").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("valid"), 1)).alias("n_valid")),

@@ -11,7 +11,9 @@ from ..functions import query_text as qt
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; one that comes in fewer pieces than there are cores (a single small file) is spread over them first."""
+    df, cores = spark.read.parquet(f"{d}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("train", "documents") and df.rdd.getNumPartitions() < cores else df
 
 
 def sql_list(words) -> str:
@@ -49,7 +51,8 @@ def sql_tokens(norm: str) -> str:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "train").select("qid", *[c.alias(k) for k, c in feat.columns(F.col("QueryText")).items()])
+    rows = table(spark, d, "train").select("qid", "QueryText", qt.normalize(F.col("QueryText")).alias("norm"))
+    return rows.select("qid", *[c.alias(k) for k, c in feat.columns(F.col("QueryText"), F.col("norm")).items()])
 
 
 def _hint(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +95,7 @@ QUERIES = {
     "content_type_map": lambda s, d: table(s, d, "train").select("qid", qt.content_type(F.col("ContentType")).alias("mapped"), qt.known_label(F.col("ContentType")).alias("label")),
     "year_tokens": lambda s, d: table(s, d, "train").select("qid", F.explode(qt.tokens(qt.normalize(F.col("QueryText")))).alias("token")).filter(qt.is_year(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n")),
     "features18": _features,
-    "feature_vector": lambda s, d: table(s, d, "test_public_queries").select("qid", feat.vector(F.col("QueryText")).alias("v")),
+    "feature_vector": lambda s, d: table(s, d, "test_public_queries").withColumn("norm", qt.normalize(F.col("QueryText"))).select("qid", feat.vector(F.col("QueryText"), F.col("norm")).alias("v")),
     "heuristic_type": lambda s, d: table(s, d, "train").select("qid", feat.heuristic_type(F.col("QueryText")).alias("type_query")),
     "generic_query": lambda s, d: table(s, d, "train").select("qid", feat.is_generic(F.col("QueryText")).alias("generic"), feat.has_broad_context(F.col("QueryText")).alias("broad")),
     "ct_hint": _hint,
