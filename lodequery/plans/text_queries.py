@@ -173,3 +173,4 @@ select qid, case when score >= 5 or (label in ('мультфильм', 'муль
     "label_distribution": "select TypeQuery, ContentType, count(*) as n from train group by all",
     "title_mask": f"select qid from train where TypeQuery = 1 and {sql_strip('Title')} <> ''",
 }
+ORACLES["feature_vector"] = f"select qid, [{', '.join(f'cast({k} as double)' for k in feat.KEYS)}] as v from ({ORACLES['features18'].replace('from train', 'from test_public_queries')})"

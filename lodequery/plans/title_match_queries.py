@@ -12,7 +12,7 @@ from ..operators import ensemble, evaluation, graph, matching, models, retrieval
 from ..sources import tables
 from ..stage import new_path, written
 from ..streaming import scoring
-from .text_queries import sql_list, sql_norm, sql_strip, sql_tokens, table
+from .text_queries import sql_count, sql_list, sql_norm, sql_strip, sql_tokens, table
 
 
 def _train(s: SparkSession, d: str) -> DataFrame:
@@ -276,4 +276,7 @@ r as (select *, row_number() over (partition by vec_id order by score desc, labe
     "translation_lookup": """
 with n as (select lower(trim(title_ru, ' ')) as key, min(title_en) as value from enriched_films where title_ru is not null and title_en is not null group by 1)
 select ord, lower(title) as title, coalesce(value, '') as EnglishTitle from title_catalog left join n on key = lower(title)""",
+    "windowed_counts": f"""
+select date_trunc('day', log_ts) as start, source, count(*) as n, cast(sum(cast({sql_count("lower(coalesce(QueryText, ''))", L.VIDEO_SIGNALS)} > {sql_count("lower(coalesce(QueryText, ''))", L.OTHER_SIGNALS)} as int)) as bigint) as n_video
+from train where log_ts is not null group by all""",
 }
