@@ -118,7 +118,7 @@ def _graph_top(s: SparkSession, d: str) -> DataFrame:
 
 
 def _agreed(s: SparkSession, d: str) -> DataFrame:
-    parts = ensemble.branches(_train(s, d), _catalog(s, d))
+    parts = ensemble.branches(_train(s, d), _catalog(s, d), with_models=False)
     asked = _public(s, d)
     kinds = _catalog(s, d).select("title", "content_type")
     near = vectors.nearest(asked.select("id", F.col("query").alias("text")), parts["protos"], parts["vocab"]).join(kinds, "title", "left").select("id", "place", "title", F.coalesce("content_type", F.lit("")).alias("content_type"), F.col("score").alias("confidence"))
