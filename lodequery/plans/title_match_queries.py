@@ -95,8 +95,13 @@ def _dense(s: SparkSession, d: str) -> DataFrame:
 
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     top = written(graph.top_titles(_train(s, d)), "top")
-    words = written(graph.word_links(_train(s, d), top), "words")
-    return top, written(graph.edges(words, graph.title_links(top)), "edges"), written(graph.nodes(words, top), "nodes")
+    every = written(graph.title_words(_train(s, d), top), "words")
+    words = graph.word_links(every)
+    return top, written(graph.edges(words, graph.title_links(every)), "edges"), written(graph.nodes(words, top), "nodes")
+
+
+def _title_links(s: SparkSession, d: str) -> DataFrame:
+    return graph.title_links(written(graph.title_words(_train(s, d), graph.top_titles(_train(s, d))), "words"))
 
 
 def _words_of(s: SparkSession, d: str) -> DataFrame:
@@ -200,7 +205,7 @@ QUERIES = {
     "kg_top_titles": lambda s, d: graph.top_titles(_train(s, d)),
     "kg_edges": lambda s, d: _graph(s, d)[1],
     "kg_nodes": lambda s, d: _graph(s, d)[2],
-    "kg_title_edges": lambda s, d: graph.title_links(graph.top_titles(_train(s, d))),
+    "kg_title_edges": _title_links,
     "kg_hop1": _walk(graph.one_step),
     "kg_hop2": _walk(graph.two_steps),
     "kg_match": _graph_top,
