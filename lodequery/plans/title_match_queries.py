@@ -80,11 +80,9 @@ def _term_weights(s: SparkSession, d: str) -> DataFrame:
 
 
 def _nearest(s: SparkSession, d: str) -> DataFrame:
-    catalog = _catalog(s, d)
-    docs = catalog.select(F.col("title").alias("id"), F.col("title").alias("text"))
-    counts = written(vectors.term_counts(docs), "terms")
-    vocab = written(vectors.vocabulary(counts, docs.count()), "vocab")
-    protos = written(vectors.prototypes(vectors.weights(counts, vocab), docs.select("id", F.col("id").alias("title"))), "protos")
+    docs = written(vectors.corpus(_train(s, d), _catalog(s, d)), "corpus")
+    vocab = written(vectors.corpus_vocabulary(docs), "vocab")
+    protos = written(vectors.corpus_prototypes(docs, vocab), "protos")
     return vectors.nearest(_documents(s, d), protos, vocab).withColumn("score", F.round("score", 4))
 
 
@@ -125,8 +123,7 @@ def _graph_top(s: SparkSession, d: str) -> DataFrame:
 def _agreed(s: SparkSession, d: str) -> DataFrame:
     parts = ensemble.branches(_train(s, d), _catalog(s, d), with_models=False)
     asked = _public(s, d)
-    kinds = _catalog(s, d).select("title", "content_type")
-    near = vectors.nearest(asked.select("id", F.col("query").alias("text")), parts["protos"], parts["vocab"]).join(kinds, "title", "left").select("id", "place", "title", F.coalesce("content_type", F.lit("")).alias("content_type"), F.col("score").alias("confidence"))
+    near = ensemble.named(vectors.nearest(asked.select("id", F.col("query").alias("text")), parts["protos"], parts["vocab"]), _catalog(s, d), parts["types"])
     walked = graph.matched(asked, parts["links"], parts["kinds"], parts["types"])
     return ensemble.aggregated(ensemble.candidates(matching.cascade(asked, _catalog(s, d)), near, walked))
 
