@@ -40,17 +40,33 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     return summed.groupBy("key").agg(F.max(F.struct("n", F.col("word"))).alias("best")).select("key", F.col("best.word").alias("word"), F.col("best.n").alias("n"))
 
 
-def _key_readings(chunk: str) -> list[list[str]]:
-    """The words that the keys of a chunk may mean, each punctuation mark a letter or a separator; at most 64 ways."""
-    marks = [m.start() for m in _PUNCTUATION.finditer(chunk)]
-    if len(marks) > 6:
-        marks = marks[:6]
-    out = []
-    for n in range(len(marks) + 1):
-        for drop in combinations(marks, n):
-            text = "".join(" " if i in drop else c for i, c in enumerate(chunk))
-            out.append(sp._WORD.findall(sp.from_keys(text).replace("ё", "е")))
-    return out
+def _pieces(chunk: str) -> tuple[list[int], Callable[[int, int], list[str]]]:
+    """The bounds of a chunk (its ends and punctuation marks), and the words that the keys between two of them mean, marks
+    between taken as letters."""
+    bounds = [-1, *(m.start() for m in _PUNCTUATION.finditer(chunk)), len(chunk)]
+    return bounds, lambda j, k: sp._WORD.findall(sp.from_keys(chunk[bounds[j] + 1 : bounds[k]]).replace("ё", "е"))
+
+
+def key_reading(chunk: str, cost: Callable[[str], int | None]) -> list[str] | None:
+    """The words that the keys of a chunk mean, each punctuation mark a letter or a separator: the reading of least total cost,
+    of several that with the fewest separators, then the first ones. A word of cost None is in no reading; None where no
+    reading is left. Any number of marks is read, bound by bound: what is best up to a separator is best whatever follows."""
+    bounds, words_of = _pieces(chunk)
+    best: list[tuple[tuple[int, int, tuple[int, ...]], list[str]] | None] = [((0, 0, ()), [])]
+    for k in range(1, len(bounds)):
+        top = None
+        for j, before in enumerate(best):
+            if before is None:
+                continue
+            costs = list(map(cost, piece := words_of(j, k)))
+            if None in costs:
+                continue
+            (total, n, at), words_before = before
+            key = (total + sum(costs), n + 1, (*at, k))
+            if top is None or key < top[0]:
+                top = (key, words_before + piece)
+        best.append(top)
+    return best[-1][1] if best[-1] else None
 
 
 def lookups(text: str) -> list[str]:
@@ -66,7 +82,8 @@ def lookups(text: str) -> list[str]:
                 out.add("w:" + a)
     for chunk in sp._KEYED.findall(text):
         if _HAS_LATIN.search(chunk):
-            out.update("w:" + w for reading in _key_readings(chunk) for w in reading)
+            bounds, words_of = _pieces(chunk)
+            out.update("w:" + w for j, k in combinations(range(len(bounds)), 2) for w in words_of(j, k))
     return sorted(out)
 
 
@@ -96,7 +113,7 @@ class Meaning:
             for chunk in _CHUNK.split(part):
                 best = None
                 if _HAS_LATIN.search(chunk) and sp._KEYED.fullmatch(chunk):
-                    best = next((r for r in _key_readings(chunk) if r and all(w.isdigit() or get("w:" + w) for w in r)), None)
+                    best = key_reading(chunk, lambda w: 0 if w.isdigit() or get("w:" + w) else None) or None
                 keyed += best if best is not None else [sp.looked(w) for w in sp._WORD.findall(chunk)]
                 solved += sum(len(w) for w in best if not w.isdigit()) if best else 0
             differ = lambda words: sum(len(a) for a, b in zip(typed, words) if a != b)

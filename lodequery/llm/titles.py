@@ -14,7 +14,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable
 
 from . import spelling as sp
-from .keyed import _key_readings
+from .keyed import key_reading
 
 # Words that join the words of a title, words around a title, words after season and episode numbers,
 # words for a part, and ordinals of parts.
@@ -192,9 +192,8 @@ class Reference:
                 if not _LATIN.search(chunk):
                     keyed += [sp.looked(w) for w in sp._WORD.findall(chunk)]
                     continue
-                ways = _key_readings(chunk)
-                worth = [sum(len(w) for w in r if w in AROUND or w in JOINING or w in COUNTED or w in PART or self.repaired(w)) - sum(len(w) for w in r if not w.isdigit()) for r in ways]
-                keyed += ways[max(range(len(ways)), key=lambda k: (worth[k], -k))]
+                told = lambda w: w in AROUND or w in JOINING or w in COUNTED or w in PART or self.repaired(w)
+                keyed += key_reading(chunk, lambda w: (0 if w.isdigit() else len(w)) - (len(w) if told(w) else 0))
         return [typed, keyed]
 
     def candidates(self, words: list[str]) -> list[tuple[float, int, dict[int, str]]]:
