@@ -2,73 +2,71 @@
 
 Components are found by frontier breadth-first search from many seeds at once: adjacency lists are hash-partitioned
 rows, seeds are the nodes whose degree is greatest among their neighbours, and every hop joins the newest labels only. Where
-two labels meet they are linked in a smaller graph of labels, which is solved the same way; a graph below a fixed
-size is solved by one task. Components are then given to the splits in the order of their hash.
+two labels meet they are linked in a smaller graph of labels, which is searched the same way until no label meets
+another. Nodes with very many links are joined by broadcast, so their adjacency stays spread over all tasks. Components
+are then given to the splits in the order of their hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..skew import lookup_join, running_weights
 from ..stage import written
 
-#: Edges that one task may solve: 16 bytes each, besides a table of the nodes.
-SMALL_GRAPH = 300_000
-
-
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union by index over a bounded edge list; the component's name is its least node."""
-    frames = list(batches)
-    if not sum(map(len, frames)):
-        return
-    edges = pd.concat(frames)
-    nodes, ends = np.unique(edges[["a", "b"]].to_numpy().ravel(), return_inverse=True)
-    a, b = ends.reshape(-1, 2).T
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        while (label != label[label]).any():
-            label = label[label]
-        if (label == before).all():
-            break
-    yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+#: A node is a hub from this many links and this share of all link ends on; so there are at most 1 / HUB_SHARE hubs.
+HUB_LINKS, HUB_SHARE = 10_000, 0.0005
+
+
+def _hubs(degree: DataFrame, ends: int, least: int) -> DataFrame | None:
+    """(a) of the nodes with very many links, of which there is a bounded number; None without any. ``degree``: (a, degree)."""
+    found = degree.filter(F.col("degree") >= max(least, int(ends * HUB_SHARE))).select("a")
+    return None if found.isEmpty() else F.broadcast(found)
+
+
+def _sent(rows: DataFrame, values: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Inner join of rows to ``values`` on ``a``, unique in ``values``; the values of hubs are broadcast."""
+    if hubs is None:
+        return rows.join(values, "a")
+    hot = rows.join(F.broadcast(values.join(hubs, "a", "left_semi")), "a")
+    return hot.unionByName(rows.join(hubs, "a", "left_anti").join(values.join(hubs, "a", "left_anti"), "a").select(hot.columns))
+
+
+def _turned(links: DataFrame) -> DataFrame:
+    return links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+
 
+def _labels(edges: DataFrame, hops: int, hub_links: int, level: int) -> DataFrame:
+    """(node, component) of a simple graph given once per edge with a < b.
 
-def _labels(edges: DataFrame, small: int, hops: int, level: int) -> DataFrame:
-    """(node, component) of a simple graph given once per edge with a < b."""
-    if edges.count() <= small:
-        return edges.coalesce(1).mapInPandas(_solve, "node bigint, component bigint")
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "adjacency")
-    rank = written(both.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).select("a", F.struct("degree", F.xxhash64("a", F.lit(level)).alias("h")).alias("rank")), "ranks")
-    near = both.join(rank.select(F.col("a").alias("b"), F.col("rank").alias("other")), "b").groupBy("a").agg(F.max("other").alias("other"))
-    seeds = rank.join(near, "a").filter("rank > other").select(F.col("a").alias("node"), F.col("a").alias("label"))
+    In every component the node of greatest rank is a seed and its neighbours take a label, so each level has fewer nodes;
+    the labels of local maxima three hops around shrink a path to a third or less, so levels grow with the logarithm."""
+    n_edges = edges.count()
+    if not n_edges:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    both = written(edges.unionByName(_turned(edges)), "adjacency")
+    rank = written(both.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).select("a", "degree", F.struct("degree", F.xxhash64("a", F.lit(level)).alias("h"), "a").alias("rank")), "ranks")
+    hubs = _hubs(rank, 2 * n_edges, hub_links)
+    near = _sent(both, rank.select("a", "rank"), hubs).groupBy(F.col("b").alias("a")).agg(F.max("rank").alias("other"))
+    seeds = rank.join(near, "a").filter("rank > other").select("a", F.col("a").alias("label"))
     labelled = frontier = written(seeds, "seeds")
     for _ in range(hops):
-        met = both.join(frontier, both["a"] == frontier["node"]).groupBy("b").agg(F.min("label").alias("label"))
-        frontier = written(met.select(F.col("b").alias("node"), "label").join(labelled, "node", "left_anti"), "frontier")
+        met = _sent(both, frontier, hubs).groupBy(F.col("b").alias("a")).agg(F.min("label").alias("label"))
+        frontier = written(met.join(labelled, "a", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
         labelled = labelled.unionByName(frontier)
-    left = rank.select(F.col("a").alias("node")).join(labelled, "node", "left_anti").withColumn("label", F.col("node"))
+    left = rank.select("a").join(labelled, "a", "left_anti").withColumn("label", F.col("a"))
     labelled = written(labelled.unionByName(left), "labels")
-    one, two = labelled.select(F.col("node").alias("a"), F.col("label").alias("x")), labelled.select(F.col("node").alias("b"), F.col("label").alias("y"))
-    meeting = edges.join(one, "a").join(two, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    above = _labels(written(meeting, "label-graph"), small, hops, level + 1)
-    named = labelled.join(above.withColumnRenamed("node", "label"), "label", "left")
+    seen = _sent(edges, labelled, hubs).select(F.col("b").alias("a"), F.col("label").alias("x")).distinct()
+    meeting = _sent(seen, labelled, hubs).filter("x <> label").select(F.least("x", "label").alias("a"), F.greatest("x", "label").alias("b")).distinct()
+    above = _labels(written(meeting, "label-graph"), hops, hub_links, level + 1)
+    named = labelled.withColumnRenamed("a", "node").join(above.withColumnRenamed("node", "label"), "label", "left")
     return named.select("node", F.coalesce("component", "label").alias("component"))
 
 
-def components(edges: DataFrame, small: int = SMALL_GRAPH, hops: int = 3) -> DataFrame:
+def components(edges: DataFrame, hops: int = 3, hub_links: int = HUB_LINKS) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: bigint), where component is one of its nodes.
 
     Self-links, repeated and reversed edges and nulls are allowed; a node with only a self-link is its own component. A
@@ -76,19 +74,23 @@ def components(edges: DataFrame, small: int = SMALL_GRAPH, hops: int = 3) -> Dat
     pairs = edges.filter("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "edges")
     links = pairs.filter("a <> b")
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.groupBy("a").agg(F.count(F.lit(1)).alias("n_rows"), F.min("b").alias("only"))
-    degree = written(degree.select(F.col("a").alias("node"), "n_rows", "only"), "degrees")
-    single = degree.filter("n_rows = 1").select("node", "only")
+    ends = links.unionByName(_turned(links))
+    degree = ends.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("only"))
+    degree = written(degree, "degrees")
+    single = degree.filter("degree = 1").select(F.col("a").alias("node"), "only")
     # of two nodes that have only each other, the lesser stays
     lone = single.join(single.select(F.col("node").alias("only"), F.col("only").alias("back")), "only", "left").filter("back is null or only < node").select("node", "only")
     leaves = written(lone, "leaves")
-    core = links.join(leaves.select(F.col("node").alias("a")), "a", "left_anti").join(leaves.select(F.col("node").alias("b")), "b", "left_anti")
-    found = _labels(written(core.select("a", "b"), "core"), small, hops, 0)
-    rest = degree.join(leaves, "node", "left_anti").select("node").unionByName(pairs.filter("a = b").select(F.col("a").alias("node"))).distinct()
+    # a link is inside the core if neither end has it as its only one: no join, as ends know their degree
+    counts = degree.select("a", "degree")
+    hubs = _hubs(counts, degree.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0], hub_links)
+    one = _sent(links, counts, hubs).filter("degree > 1").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    core = _sent(one, counts, hubs).filter("degree > 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = _labels(written(core, "core"), hops, hub_links, 0)
+    rest = degree.select(F.col("a").alias("node")).join(leaves, "node", "left_anti").select("node").unionByName(pairs.filter("a = b").select(F.col("a").alias("node"))).distinct()
     inner = written(rest.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
-    around = inner.join(degree.select("node", "n_rows"), "node").select(F.col("node").alias("only"), "component", "n_rows")
-    outer = lookup_join(leaves, around, "only", 10_000).select("node", "component")
+    around = inner.join(degree.select(F.col("a").alias("node"), F.col("degree").alias("n_rows")), "node").select(F.col("node").alias("only"), "component", "n_rows")
+    outer = lookup_join(leaves, around, "only", max(10_000, leaves.count() // 1000)).select("node", "component")
     return inner.unionByName(outer)
 
 

@@ -62,13 +62,13 @@ def components_slow(edges):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_components(spark, small):
+@pytest.mark.parametrize("hub_links", [3, 1000])
+def test_components(spark, hub_links):
     random.seed(11)
     edges = [(random.randint(0, 80), random.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 112)] + [(200, 200), (300, 301), (301, 300)] + [(400, 401 + i) for i in range(9)]
     df = spark.createDataFrame([*edges, (None, 5)], "a bigint, b bigint")
     groups = {}
-    for r in splits.components(df, small=small, hops=2).collect():
+    for r in splits.components(df, hops=2, hub_links=hub_links).collect():
         groups.setdefault(r.component, set()).add(r.node)
     assert {frozenset(g) for g in groups.values()} == components_slow(edges)
 
