@@ -173,7 +173,10 @@ def test_mapping_of_rows(spark, block):
     assert canonical.mapped(rows, "qid", F.col("t"), F.lit(True), e.limit(0)).filter("ord is not null").count() == 0
 
 
-def test_works_across_sources(spark):
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_works_across_sources(spark, monkeypatch, limit):
+    """``limit`` 0 joins the tables of words by shuffle."""
+    monkeypatch.setattr(linkage, "BROADCAST_WORDS", limit)
     refs = [
         ("e:1", "e", ["Туманный лабиринт", "The Misty Labyrinth"], 2017), ("e:2", "e", ["Туманный лабиринт 2", None], 2019), ("e:3", "e", ["Медный компас", "The Copper Compass"], 1990), ("e:4", "e", [None, None], None),
         ("e:5", "e", ["Туманный компас", "The Misty Compass"], 2001), ("e:6", "e", ["Медный лабиринт", "The Copper Labyrinth"], 2002), ("k:1", "k", ["туманный лабиринт (2017)", None], 2018), ("k:2", "k", ["Медный компас", None], 2020),
@@ -185,6 +188,24 @@ def test_works_across_sources(spark):
     assert all(0 < c <= 1 for c in got.values())
 
 
+def test_hyperplanes_bring_together_what_is_alike(spark):
+    """Of all pairs of forms that the exact comparison accepts, the buckets hold nearly all; nothing else feeds them."""
+    rng = random.Random(8)
+    syllables = ["ла", "би", "рин", "ту", "мед", "ко", "зво", "нар", "пло", "ти", "ржа", "ве", "мос", "гар", "сне", "жур"]
+    name = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(3, 4)))
+    rows = []
+    for i in range(150):
+        title = " ".join(name() for _ in range(rng.randint(1, 3)))
+        k = rng.randrange(1, len(title) - 2)
+        rows += [(f"a:{i}", "a", [title], 1950 + i % 60), (f"b:{i}", "b", [title.replace(" ", "")], None), (f"c:{i}", "c", [title[:k] + title[k + 1 :]], 1950 + i % 60)]
+    df = spark.createDataFrame(rows, "ref string, source string, titles array<string>, year int").withColumn("kind", F.lit(None).cast("string"))
+    forms, holders = linkage.title_forms(linkage.prepared(df))
+    met = {tuple(r) for r in linkage.blocked(forms, linkage.trained(forms, holders)).collect()}
+    every = forms.collect()
+    want = {tuple(sorted((x.form, y.form))) for n, x in enumerate(every) for y in every[n + 1 :] if len({d.source for d in [*x.dated, *y.dated]}) > 1 and linkage.alike(x.asDict(), y.asDict()) > 0}
+    assert len(want) > 100 and len(want & met) >= 0.98 * len(want)
+
+
 def test_packing(spark):
     docs = [(i, "я" * random.Random(i).randint(0, 900)) for i in range(400)] + [(900, None), (901, "a" * 2500), (902, "a" * 2000)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
