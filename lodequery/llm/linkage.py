@@ -60,6 +60,13 @@ def _replaced(rows: DataFrame, ids: list[str], words: str, table: DataFrame) ->
     return back.select(*ids, F.transform("x", lambda x: x["w"]).alias(words))
 
 
+def _commoner(counts: DataFrame, times: int, name: str) -> DataFrame:
+    """(word, to): the commonest word one slip away, where it is at least ``times`` as common. ``counts``: (word, n), written."""
+    slips = slip_pairs(counts).select("word", F.explode("ups").alias("up")).join(counts.withColumnRenamed("word", "up"), "up")
+    best = slips.groupBy("word").agg(F.max(F.struct("n", "up")).alias("best")).join(counts, "word").filter(F.col("best.n") >= times * F.col("n"))
+    return written(best.select("word", F.col("best.up").alias("to")), name)
+
+
 def prepared(refs: DataFrame) -> DataFrame:
     """(ref, source, year, kind, readings) from (ref, source, titles, year, kind).
 
@@ -71,9 +78,6 @@ def prepared(refs: DataFrame) -> DataFrame:
     words = written(keyed.canonical(each, "title", vocab).filter(F.size("meant") > 0), "title-words")
     counts = words.select(F.explode("meant").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "title-counts")
-    slips = slip_pairs(counts).select("word", F.explode("ups").alias("up")).join(counts.withColumnRenamed("word", "up"), "up")
-    fixes = slips.groupBy("word").agg(F.max(F.struct("n", "up")).alias("best")).join(counts, "word").filter("best.n >= 3 * n").select("word", F.col("best.up").alias("to"))
-
     @F.pandas_udf("struct<words: array<string>, joined: string, number: int, latin: boolean, year: int>")
     def reading(meant: pd.Series) -> pd.DataFrame:
         rows = []
@@ -89,7 +93,7 @@ def prepared(refs: DataFrame) -> DataFrame:
             rows.append((content, "".join(whole), number, bool(_LATIN.search("".join(content))), years[-1] if years else None))
         return pd.DataFrame(rows, columns=["words", "joined", "number", "latin", "year"]).astype({"number": "Int32", "year": "Int32"})
 
-    fixed = _replaced(words, ["ref", "no"], "meant", written(fixes, "title-fixes"))
+    fixed = _replaced(words, ["ref", "no"], "meant", _commoner(counts, 3, "title-fixes"))
     read = fixed.select("ref", reading("meant").alias("r"))
     per = read.groupBy("ref").agg(F.collect_set(F.struct("r.words", "r.joined", "r.number", "r.latin")).alias("readings"), F.max("r.year").alias("said"))
     return written(refs.join(per, "ref").select("ref", "source", F.coalesce("year", "said").alias("year"), "kind", "readings"), "references")
@@ -110,17 +114,24 @@ def dictionary(ready: DataFrame) -> DataFrame:
 
 
 def title_forms(ready: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(form id, words, joined, number, latin, stems, dated) and (form, ref, source, year), both written.
+    """(form id, words, joined, number, latin, stems, near, near_joined, dated) and (form, ref, source, year), both written.
 
-    ``stems`` are those of the words, English ones as Russian where the dictionary has them. ``dated`` are the distinct
-    sources and years of the records that have the form, so its size does not grow with them."""
+    ``stems`` are those of the words, English ones as Russian where the dictionary has them; ``near`` and ``near_joined`` the
+    same with every word, or all of them as one, replaced by the commonest one slip away. ``dated`` are the distinct sources
+    and years of the records that have the form, so its size does not grow with them."""
     each = ready.select("ref", "source", "year", F.explode("readings").alias("r")).select("ref", "source", "year", "r.*")
     what = ["words", "joined", "number", "latin"]
     forms = each.groupBy(*what).agg(F.collect_set(F.struct("source", "year")).alias("dated"))
-    forms = written(forms.withColumn("form", F.monotonically_increasing_id()).withColumn("stems", _stems("words")), "title-forms")
+    forms = written(forms.withColumn("form", F.monotonically_increasing_id()), "title-forms")
+    counts = lambda c: forms.select(c.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    near = _replaced(forms, ["form"], "words", _commoner(written(counts(F.explode("words")), "form-words"), 1, "near-words"))
+    joined = _commoner(written(counts(F.col("joined")), "form-joined"), 1, "near-joined").select(F.col("word").alias("joined"), F.col("to").alias("near_joined"))
+    spelled = forms.join(near.select("form", _stems("words").alias("near")), "form").join(_small(joined), "joined", "left")
+    spelled = written(spelled.select("form", *what, "dated", F.coalesce("near_joined", "joined").alias("near_joined"), _stems("words").alias("stems"), "near"), "spelled-forms")
     to = written(dictionary(ready).select(F.col("en").alias("word"), F.col("ru").alias("to")), "title-dictionary")
-    read = _replaced(forms.filter("latin"), ["form"], "stems", to)
-    forms = written(forms.filter("not latin").unionByName(forms.filter("latin").drop("stems").join(read, "form")), "forms")
+    latin = spelled.filter("latin")
+    read = _replaced(latin, ["form"], "stems", to).join(_replaced(latin, ["form"], "near", to), "form")
+    forms = written(spelled.filter("not latin").unionByName(latin.drop("stems", "near").join(read, "form")), "forms")
     same = [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in what]
     holders = each.alias("e").join(forms.alias("f"), same).select("f.form", "e.ref", "e.source", "e.year").distinct()
     return forms, written(holders, "form-holders")
@@ -209,7 +220,8 @@ def buckets(vector: np.ndarray, planes: np.ndarray, tables: int, probes: int) ->
 
 
 def blocked(forms: DataFrame, nodes: Nodes, tables: tuple[int, int] = TABLES, probes: int = PROBES, extra_bits: int = 2, seed: int = 11) -> DataFrame:
-    """(f, g) with f <= g: ids of forms that meet in some bucket, have the same number of a sequel, and are of two sources.
+    """(f, g) with f <= g: ids of forms that meet in some bucket, have the same number of a sequel, and are of two sources. A form
+    is hashed as it is spelled and, where a commoner spelling is one slip away, as that.
 
     The buckets have ``extra_bits`` bits more than the number of forms, so that they stay as small whatever that number is."""
     spark = forms.sparkSession
@@ -220,19 +232,21 @@ def blocked(forms: DataFrame, nodes: Nodes, tables: tuple[int, int] = TABLES, pr
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, block, probe = [], [], []
-            for i, (stems, joined) in enumerate(zip(b["stems"], b["joined"])):
-                first = 0
-                for v, p, t in zip(shared.value.views(list(stems), joined), planes, tables):
-                    own, near = buckets(v, p, t, probes)
-                    place = (first + np.arange(t)) << bits
-                    block += [*(place + own), *(place[:, None] + near).ravel()]
-                    probe += [False] * t + [True] * near.size
-                    at += [i] * (t + near.size)
-                    first += t
+            spelled, commoner = zip(b["stems"].map(tuple), b["joined"]), zip(b["near"].map(tuple), b["near_joined"])
+            for i, spellings in enumerate(zip(spelled, commoner)):
+                for stems, joined in dict.fromkeys(spellings):
+                    first = 0
+                    for v, p, t in zip(shared.value.views(list(stems), joined), planes, tables):
+                        own, near = buckets(v, p, t, probes)
+                        place = (first + np.arange(t)) << bits
+                        block += [*(place + own), *(place[:, None] + near).ravel()]
+                        probe += [False] * t + [True] * near.size
+                        at += [i] * (t + near.size)
+                        first += t
             yield pd.DataFrame({"form": b["form"].to_numpy()[at], "block": block, "probe": probe, "number": b["number"].fillna(1).astype("int32").to_numpy()[at], "sources": b["sources"].to_numpy()[at]})
 
     sources = F.array_sort(F.array_distinct(F.transform("dated", lambda d: d["source"])))
-    rows = forms.select("form", "number", "stems", "joined", sources.alias("sources")).mapInPandas(hashed, "form bigint, block bigint, probe boolean, number int, sources array<string>")
+    rows = forms.select("form", "number", "stems", "joined", "near", "near_joined", sources.alias("sources")).mapInPandas(hashed, "form bigint, block bigint, probe boolean, number int, sources array<string>")
     rows = written(rows, "blocks")
     a, b = rows.alias("a"), rows.filter("not probe").alias("b")
     two = (F.size("a.sources") > 1) | (F.size("b.sources") > 1) | (F.col("a.sources") != F.col("b.sources"))
