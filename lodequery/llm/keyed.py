@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,36 +39,57 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     return summed.groupBy("key").agg(F.max(F.struct("n", F.col("word"))).alias("best")).select("key", F.col("best.word").alias("word"), F.col("best.n").alias("n"))
 
 
-def _pieces(chunk: str) -> tuple[list[int], Callable[[int, int], list[str]]]:
-    """The bounds of a chunk (its ends and punctuation marks), and the words that the keys between two of them mean, marks
-    between taken as letters."""
+def _pieces(chunk: str, longest: int | None) -> Iterator[tuple[int, int, list[str]]]:
+    """(j, k, words): the words that the keys between two bounds of a chunk mean, marks between taken as letters. Bounds are its
+    ends and punctuation marks. A part with marks inside and of more letters than the longest known word is no word."""
     bounds = [-1, *(m.start() for m in _PUNCTUATION.finditer(chunk)), len(chunk)]
-    return bounds, lambda j, k: sp._WORD.findall(sp.from_keys(chunk[bounds[j] + 1 : bounds[k]]).replace("ё", "е"))
+    for k in range(1, len(bounds)):
+        for j in range(k - 1, -1, -1):
+            if longest is not None and j < k - 1 and bounds[k] - bounds[j] - 1 > longest:
+                break
+            yield j, k, sp._WORD.findall(sp.from_keys(chunk[bounds[j] + 1 : bounds[k]]).replace("ё", "е"))
+
 
+def key_pieces(chunk: str, longest: int | None) -> Iterator[list[str]]:
+    """The words of all parts of a chunk that :func:`key_reading` tries."""
+    return (words for _, _, words in _pieces(chunk, longest))
 
-def key_reading(chunk: str, cost: Callable[[str], int | None]) -> list[str] | None:
+
+def key_reading(chunk: str, cost: Callable[[str], int | None], longest: int | None = None) -> list[str] | None:
     """The words that the keys of a chunk mean, each punctuation mark a letter or a separator: the reading of least total cost,
     of several that with the fewest separators, then the first ones. A word of cost None is in no reading; None where no
-    reading is left. Any number of marks is read, bound by bound: what is best up to a separator is best whatever follows."""
-    bounds, words_of = _pieces(chunk)
-    best: list[tuple[tuple[int, int, tuple[int, ...]], list[str]] | None] = [((0, 0, ()), [])]
-    for k in range(1, len(bounds)):
-        top = None
-        for j, before in enumerate(best):
-            if before is None:
-                continue
-            costs = list(map(cost, piece := words_of(j, k)))
-            if None in costs:
-                continue
-            (total, n, at), words_before = before
-            key = (total + sum(costs), n + 1, (*at, k))
-            if top is None or key < top[0]:
-                top = (key, words_before + piece)
-        best.append(top)
-    return best[-1][1] if best[-1] else None
-
-
-def lookups(text: str) -> list[str]:
+    reading is left. Any number of marks is read, bound by bound: what is best up to a separator is best whatever follows.
+    ``longest``: letters of the longest word that is known, so the work grows with the length of the chunk only."""
+    # (cost, parts) of the best reading up to each bound, the bound before it and the words between
+    best: dict[int, tuple[int, int, int, list[str]]] = {0: (0, 0, -1, [])}
+    last = 0
+    for j, k, words in _pieces(chunk, longest):
+        last = k
+        if j not in best or None in (costs := list(map(cost, words))):
+            continue
+        total, n = best[j][0] + sum(costs), best[j][1] + 1
+        old = best.get(k)
+        if old is None or (total, n) < old[:2] or (total, n) == old[:2] and _earlier(best, j, old[2]):
+            best[k] = (total, n, j, words)
+    if last not in best:
+        return None
+    out: list[list[str]] = []
+    while last > 0:
+        out.append(best[last][3])
+        last = best[last][2]
+    return [w for words in reversed(out) for w in words]
+
+
+def _earlier(best: dict, i: int, j: int) -> bool:
+    """Whether the bounds of the best reading up to ``i`` come before those up to ``j``, which are as many."""
+    a, b = [], []
+    while i > 0 or j > 0:
+        a, b = [i, *a], [j, *b]
+        i, j = best[i][2], best[j][2]
+    return a < b
+
+
+def lookups(text: str, longest: int | None = None) -> list[str]:
     """All vocabulary keys that :func:`meant` may ask for this text."""
     text = sp.clean(text)
     if not _HAS_LATIN.search(text):
@@ -82,17 +102,16 @@ def lookups(text: str) -> list[str]:
                 out.add("w:" + a)
     for chunk in sp._KEYED.findall(text):
         if _HAS_LATIN.search(chunk):
-            bounds, words_of = _pieces(chunk)
-            out.update("w:" + w for j, k in combinations(range(len(bounds)), 2) for w in words_of(j, k))
+            out.update("w:" + w for words in key_pieces(chunk, longest) for w in words)
     return sorted(out)
 
 
 class Meaning:
-    """The words meant by texts. ``get`` gives the Cyrillic word of a vocabulary key or None. What was found for a word or
-    a part between spaces is remembered."""
+    """The words meant by texts. ``get`` gives the Cyrillic word of a vocabulary key or None, ``longest`` is the length of the
+    longest such word. What was found for a word or a part between spaces is remembered."""
 
-    def __init__(self, get: Callable[[str], str | None], remember: int = 300_000):
-        self.get, self.remember = get, remember
+    def __init__(self, get: Callable[[str], str | None], longest: int | None = None, remember: int = 300_000):
+        self.get, self.longest, self.remember = get, longest, remember
         self.parts: dict[str, tuple] = {}
 
     def part(self, part: str) -> tuple[list[str], list[str], list[str], list[str], int, int, int]:
@@ -113,7 +132,7 @@ class Meaning:
             for chunk in _CHUNK.split(part):
                 best = None
                 if _HAS_LATIN.search(chunk) and sp._KEYED.fullmatch(chunk):
-                    best = key_reading(chunk, lambda w: 0 if w.isdigit() or get("w:" + w) else None) or None
+                    best = key_reading(chunk, lambda w: 0 if w.isdigit() or get("w:" + w) else None, self.longest) or None
                 keyed += best if best is not None else [sp.looked(w) for w in sp._WORD.findall(chunk)]
                 solved += sum(len(w) for w in best if not w.isdigit()) if best else 0
             differ = lambda words: sum(len(a) for a, b in zip(typed, words) if a != b)
@@ -132,8 +151,8 @@ class Meaning:
         return [a if a != w else b for p in parts for w, a, b in zip(p[0], p[first], p[second])]
 
 
-def meant(text: str, get: Callable[[str], str | None]) -> list[str]:
-    return Meaning(get).words(text)
+def meant(text: str, get: Callable[[str], str | None], longest: int | None = None) -> list[str]:
+    return Meaning(get, longest).words(text)
 
 
 def canonical(df: DataFrame, text: str, vocab: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -145,12 +164,13 @@ def canonical(df: DataFrame, text: str, vocab: DataFrame, broadcast_keys: int =
     plain = words(F.translate(F.col(text), "ёЁ", "ее"))
     rest = df.filter(F.col(text).isNull() | ~latin).withColumn("meant", plain)
     hard = df.filter(latin)
+    longest = vocab.agg(F.max(F.length("word"))).first()[0] or 0
     if vocab.count() <= broadcast_keys:
         table = spark.sparkContext.broadcast(dict(vocab.select("key", "word").toPandas().itertuples(index=False)))
 
         @F.pandas_udf("array<string>")
         def by_table(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            words = Meaning(table.value.get).words
+            words = Meaning(table.value.get, longest).words
             for texts in batches:
                 yield texts.map(words)
 
@@ -158,11 +178,11 @@ def canonical(df: DataFrame, text: str, vocab: DataFrame, broadcast_keys: int =
 
     @F.pandas_udf("array<string>")
     def keys_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lookups)
+        return texts.map(lambda t: lookups(t, longest))
 
     @F.pandas_udf("array<string>")
     def by_hits(texts: pd.Series, keys: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([meant(t, dict(zip(k, w)).get) if k is not None else meant(t, {}.get) for t, k, w in zip(texts, keys, found)])
+        return pd.Series([meant(t, dict(zip(k, w)).get if k is not None else {}.get, longest) for t, k, w in zip(texts, keys, found)])
 
     distinct = hard.select(F.col(text).alias("_t")).distinct()
     hits = distinct.withColumn("key", F.explode(keys_of("_t"))).join(vocab.select("key", "word"), "key")

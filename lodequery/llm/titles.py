@@ -11,10 +11,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import lru_cache
 
 from . import spelling as sp
-from .keyed import key_reading
+from .keyed import key_pieces, key_reading
 
 # Words that join the words of a title, words around a title, words after season and episode numbers,
 # words for a part, and ordinals of parts.
@@ -25,14 +26,21 @@ AROUND = frozenset(
 )
 COUNTED = frozenset("сезон сезона сезоны серия серии серий выпуск выпуски эпизод sezon seriya serii season episode ctpjy cthbz".split())
 PART = frozenset("часть части part chast".split())
-ORDINALS = {"первая": 1, "вторая": 2, "третья": 3, "четвертая": 4, "пятая": 5, "шестая": 6, "first": 1, "second": 2, "third": 3}
-ROMAN = {"ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6}
+ORDINALS = {w: n for n, w in enumerate("первая вторая третья четвертая пятая шестая седьмая восьмая девятая десятая одиннадцатая двенадцатая".split(), 1)} | {
+    w: n for n, w in enumerate("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split(), 1)
+}
+
+_ROMAN = re.compile(r"x{0,3}(?:ix|iv|v?i{0,3})$")
+_ROMAN_VALUES = {"i": 1, "v": 5, "x": 10}
+#: A bare number after a title in a query is that of a sequel below this one.
+COUNTS = 20
 
 _JOINING_SOUNDS = frozenset(map(sp.skeleton, JOINING))
 _AROUND_SOUNDS = frozenset(map(sp.skeleton, AROUND))
 _LATIN = re.compile("[a-z]")
 _YEAR = re.compile(r"(?:19|20)\d\d$")
 _SPLIT = re.compile(r"\s+")
+_KEYS = re.compile(r"([a-z0-9\[\];',.`{}:\"<>~]+)")
 
 
 def joins(word: str) -> bool:
@@ -47,6 +55,19 @@ def is_year(word: str) -> bool:
     return bool(_YEAR.match(word))
 
 
+def roman(word: str) -> int | None:
+    """The number of a Roman numeral to XXXIX; a lone I or X is no numeral but a letter."""
+    if word in ("", "i", "x") or not _ROMAN.match(word):
+        return None
+    values = [_ROMAN_VALUES[c] for c in word]
+    return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
+
+
+def numeral(word: str) -> int | None:
+    """A number in digits or Roman numerals; years are none."""
+    return (None if is_year(word) else int(word)) if word.isdecimal() else roman(word)
+
+
 def sequel(words: list[str], loose: bool = False) -> tuple[list[int], int | None]:
     """(positions that are no title words, number of the sequel). With ``loose`` the words are a whole query, where a bare
     number counts only if nothing says that it counts seasons; numbers of episodes are no title words either."""
@@ -56,7 +77,7 @@ def sequel(words: list[str], loose: bool = False) -> tuple[list[int], int | None
         if w in PART:
             for j in (i + 1, i - 1):
                 if 0 <= j < len(words):
-                    n = int(words[j]) if words[j].isdigit() and len(words[j]) < 3 else ORDINALS.get(words[j]) or ROMAN.get(words[j])
+                    n = ORDINALS.get(words[j]) or numeral(words[j])
                     if n:
                         number = n
                         out |= {i, j}
@@ -66,7 +87,7 @@ def sequel(words: list[str], loose: bool = False) -> tuple[list[int], int | None
     for i, w in enumerate(words):
         if i in out:
             continue
-        n = int(w) if w.isdigit() and len(w) < 3 else ROMAN.get(w)
+        n = numeral(w)
         if n is None:
             continue
         if loose and (i + 1 < len(words) and words[i + 1] in COUNTED or i and words[i - 1] in COUNTED and not (i + 1 < len(words) and words[i + 1].isdigit())):
@@ -77,197 +98,213 @@ def sequel(words: list[str], loose: bool = False) -> tuple[list[int], int | None
     return sorted(out), None if number == 1 else number
 
 
-class Reference:
-    """An index of reference entries: (id, [spellings])."""
+def stem(word: str) -> str:
+    """A name's sound without the vowels it ends on, which cases change."""
+    return sp.skeleton(word).rstrip("aeiouy")
+
 
-    def __init__(self, entries: Iterable[tuple[int, list[str]]]):
-        forms: dict[tuple, int] = {}
-        self.forms: list[tuple[int, tuple[str, ...], int | None, bool]] = []
-        pairs: dict[str, Counter] = defaultdict(Counter)
-        entries = [(i, [s for s in spellings if s]) for i, spellings in entries]
-        without = []
-        for i, spellings in entries:
-            cyrillic, latin = [], []
-            for s in spellings:
-                if f := self._form(s):
-                    (latin if _LATIN.search(" ".join(f[0])) else cyrillic).append(f)
-            for f in [*cyrillic, *latin]:
-                self._add(forms, i, *f)
-            if cyrillic and latin:
-                for ru, en in ((c, e) for c in cyrillic[:1] for e in latin if len(e[0]) == len(c[0])):
-                    for a, b in zip(ru[0], en[0]):
-                        if sp.skeleton(a) != sp.skeleton(b):
-                            pairs[a][b] += 1
-            elif cyrillic:
-                without.append((i, cyrillic[0]))
-        self.translated = {a: c.most_common(1)[0][0] for a, c in pairs.items()}
-        for i, (words, number) in without:
-            self._add(forms, i, tuple(self.translated.get(w, "~" + stem(w)) for w in words), number)
-        for i, spellings in entries:
-            for s in spellings:
-                if len(kept := self._words(s)[0]) > 1:
-                    self._add(forms, i, ("".join(kept),), self._words(s)[1])
-        self.words = sorted({w for _, words, _, _ in self.forms for w in words})
-        df = Counter(w for _, words, _, _ in self.forms for w in set(words))
-        self.idf = {w: math.log(1 + len(self.forms) / n) for w, n in df.items()}
-        self.unknown = math.log(1 + len(self.forms))
-        self.postings: dict[str, list[int]] = defaultdict(list)
-        for k, (_, words, _, _) in enumerate(self.forms):
-            for w in set(words):
-                self.postings[w].append(k)
-        self.sounds: dict[str, list[str]] = defaultdict(list)
-        self.near: dict[str, list[str]] = defaultdict(list)
-        self.near_sounds: dict[str, list[str]] = defaultdict(list)
-        for w in self.words:
-            if w[0] == "~":
-                continue
-            sound = sp.skeleton(w)
-            self.sounds[sound].append(w)
-            for k in sp.deletions(w):
-                self.near[k].append(w)
-            for k in sp.deletions(sound):
-                self.near_sounds[k].append(w)
-        self.known = set(self.words)
-        self.cache: dict[str, dict[str, float]] = {}
-
-    @staticmethod
-    def _words(spelling: str) -> tuple[list[str], int | None]:
-        """All words of a spelling but years, the number of a sequel and a leading word for its type."""
-        words = [sp.looked(w) for w in sp.word_list(spelling)]
-        drop, number = sequel(words)
-        kept = [w for i, w in enumerate(words) if i not in drop] or words
-        return (kept[1:] if len(kept) > 2 and kept[0] in AROUND else kept), number
-
-    @classmethod
-    def _form(cls, spelling: str) -> tuple[tuple[str, ...], int | None] | None:
-        words, number = cls._words(spelling)
-        kept = [w for w in words if w not in JOINING] or words
-        return (tuple(kept), number) if kept else None
-
-    def _add(self, forms: dict, i: int, words: tuple[str, ...], number: int | None, latin: bool | None = None) -> None:
-        key = (i, words, number)
-        if key not in forms:
-            forms[key] = len(self.forms)
-            self.forms.append((i, words, number, bool(_LATIN.search("".join(words))) if latin is None else latin))
-
-    def repaired(self, token: str) -> dict[str, float]:
-        """Reference words that a token may mean, with similarities from 0 to 1."""
-        if (hit := self.cache.get(token)) is not None:
-            return hit
-        out: dict[str, float] = {}
-        if token in self.known:
-            out[token] = 1.0
-        latin = bool(_LATIN.search(token))
-        sound = sp.skeleton(token)
-        if not token.isdigit():
-            for w in self.sounds.get(sound, ()):
-                if latin != bool(_LATIN.search(w)):
-                    out.setdefault(w, 0.97)
-            if latin and (a := sp.all_looked(token)) in self.known:
-                out.setdefault(a, 0.97)
-            if latin and "~" + stem(sound) in self.known:
-                out.setdefault("~" + stem(sound), 0.95)
-            for k in sp.deletions(token):
-                for w in self.near.get(k, ()):
-                    if w not in out and sp.is_slip(token, w):
-                        out[w] = 0.9
-            if latin:
-                for k in sp.deletions(sound):
-                    for w in self.near_sounds.get(k, ()):
-                        if w not in out and not _LATIN.search(w) and sp.is_slip(sound, sp.skeleton(w)):
-                            out[w] = 0.85
-        if len(self.cache) < 200_000:
-            self.cache[token] = out
+def is_latin(words: Iterable[str]) -> bool:
+    return any(map(_LATIN.search, words))
+
+
+Form = tuple[int, tuple[str, ...], "int | None", bool]
+
+
+def spelling_words(spelling: str) -> tuple[list[str], int | None]:
+    """All words of a spelling but years, the number of a sequel and a leading word for its type."""
+    words = [sp.looked(w) for w in sp.word_list(spelling)]
+    drop, number = sequel(words)
+    kept = [w for i, w in enumerate(words) if i not in drop] or words
+    return (kept[1:] if len(kept) > 2 and kept[0] in AROUND else kept), number
+
+
+def entry_forms(spellings: Iterable[str | None]) -> tuple[list[tuple[tuple[str, ...], int | None]], list[tuple[tuple[str, ...], int | None]], list[tuple[tuple[str, ...], int | None]]]:
+    """(Cyrillic, Latin, joined) forms of an entry's spellings, each its words and the number of a sequel. Joining words are
+    no part of a form unless there are no others; joined forms are all words of a spelling as one."""
+    cyrillic, latin, joined = {}, {}, {}
+    for s in spellings:
+        words, number = spelling_words(s or "")
+        if kept := [w for w in words if w not in JOINING] or words:
+            (latin if _LATIN.search(" ".join(kept)) else cyrillic)[tuple(kept), number] = None
+        if len(words) > 1:
+            joined[("".join(words),), number] = None
+    return list(cyrillic), list(latin), list(joined)
+
+
+def word_pairs(cyrillic: list, latin: list) -> set[tuple[str, str]]:
+    """Russian and English words that stand at the same place in two spellings of an entry."""
+    return {(a, b) for ru, _ in cyrillic for en, _ in latin if len(ru) == len(en) for a, b in zip(ru, en) if sp.skeleton(a) != sp.skeleton(b)}
+
+
+def translated_form(words: tuple[str, ...], english: Callable[[str], str | None]) -> tuple[str, ...]:
+    """A Russian form in English, words that ``english`` lacks as their sound."""
+    return tuple(english(w) or "~" + stem(w) for w in words)
+
+
+def word_keys(word: str) -> list[str]:
+    """Keys by which a word of the reference list is found, see :func:`token_keys`."""
+    if word[0] == "~":
+        return ["w:" + word]
+    sound = sp.skeleton(word)
+    return ["w:" + word, "s:" + sound, *("d:" + k for k in sp.deletions(word)), *("e:" + k for k in sp.deletions(sound) if not _LATIN.search(word))]
+
+
+def token_keys(token: str) -> list[str]:
+    """Keys that a token shares with every word that :func:`likeness` finds like it."""
+    out = ["w:" + token]
+    if token.isdigit():
         return out
+    sound = sp.skeleton(token)
+    out += ["s:" + sound, *("d:" + k for k in sp.deletions(token))]
+    if _LATIN.search(token):
+        out += ["w:~" + stem(sound), *("e:" + k for k in sp.deletions(sound))]
+        if (a := sp.all_looked(token)) is not None:
+            out.append("w:" + a)
+    return out
+
+
+def likeness(token: str, word: str) -> float:
+    """How surely a token means a word of the reference list, from 0 to 1."""
+    if token == word:
+        return 1.0
+    if token.isdigit():
+        return 0.0
+    latin, sound = bool(_LATIN.search(token)), sp.skeleton(token)
+    if word[0] == "~":
+        return 0.95 if latin and word == "~" + stem(sound) else 0.0
+    other = bool(_LATIN.search(word))
+    if latin and sp.all_looked(token) == word or latin != other and sound == sp.skeleton(word):
+        return 0.97
+    if sp.is_slip(token, word):
+        return 0.9
+    return 0.85 if latin and not other and sp.is_slip(sound, sp.skeleton(word)) else 0.0
+
+
+def _chunks(text: str) -> Iterator[str]:
+    for part in _SPLIT.split(text):
+        yield from _KEYS.split(part)
+
 
-    def _reading(self, text: str) -> list[list[str]]:
+def tokens(text: str, longest: int) -> list[str]:
+    """All tokens that :class:`Matcher` may ask for this text, on a reference list whose longest word has ``longest`` letters."""
+    text = sp.clean(text)
+    out = {sp.looked(w) for w in sp._WORD.findall(text)}
+    if any(map(_LATIN.search, out)):
+        for chunk in _chunks(text):
+            if _LATIN.search(chunk):
+                out.update(w for piece in key_pieces(chunk, longest) for w in piece)
+    return sorted(out)
+
+
+class Matcher:
+    """Ranks entries for texts. ``repaired`` gives the reference words that a token may mean, with likenesses; ``idf`` their
+    rarity, ``unknown`` that of a word no entry has; ``forms`` the forms worth trying for such repairs."""
+
+    def __init__(self, repaired: Callable[[str], Mapping[str, float]], idf: Callable[[str], float], unknown: float, longest: int, forms: Callable[[list[Mapping[str, float]]], Iterable[Form]]):
+        self.repaired, self.idf, self.unknown, self.longest, self.forms = repaired, idf, unknown, longest, forms
+
+    def readings(self, text: str) -> list[list[str]]:
         """The readings of a text: as typed, and with every chunk of keys that has Latin letters as on a Russian keyboard."""
         text = sp.clean(text)
         typed = [sp.looked(w) for w in sp._WORD.findall(text)]
         if not any(map(_LATIN.search, typed)):
             return [typed]
         keyed: list[str] = []
-        for part in _SPLIT.split(text):
-            for chunk in re.split(r"([a-z0-9\[\];',.`{}:\"<>~]+)", part):
-                if not _LATIN.search(chunk):
-                    keyed += [sp.looked(w) for w in sp._WORD.findall(chunk)]
-                    continue
-                told = lambda w: w in AROUND or w in JOINING or w in COUNTED or w in PART or self.repaired(w)
-                keyed += key_reading(chunk, lambda w: (0 if w.isdigit() else len(w)) - (len(w) if told(w) else 0))
+        told = lambda w: w in AROUND or w in JOINING or w in COUNTED or w in PART or self.repaired(w)
+        for chunk in _chunks(text):
+            if not _LATIN.search(chunk):
+                keyed += [sp.looked(w) for w in sp._WORD.findall(chunk)]
+            else:
+                keyed += key_reading(chunk, lambda w: (0 if w.isdigit() else len(w)) - (len(w) if told(w) else 0), self.longest)
         return [typed, keyed]
 
-    def candidates(self, words: list[str]) -> list[tuple[float, int, dict[int, str]]]:
-        """(soft TF-IDF, form, token positions used) of the forms all of whose words are among the tokens."""
+    def candidates(self, words: list[str]) -> Iterator[tuple[float, Form, dict[int, str]]]:
+        """(soft TF-IDF, form, reference words by token position) of the forms all of whose words are among the tokens, each at
+        a place of its own."""
         repairs = [self.repaired(w) for w in words]
-        norm = sum(max([self.idf[r] for r in m], default=0 if joins(w) or stand_alone(w) else self.unknown) ** 2 for w, m in zip(words, repairs)) or 1.0
-        per: dict[int, dict[str, tuple[float, int]]] = defaultdict(dict)
-        for at, m in enumerate(repairs):
-            for r, sim in m.items():
-                for k in self.postings[r]:
-                    if sim > per[k].get(r, (0.0, 0))[0]:
-                        per[k][r] = (sim, at)
-        out = []
-        for k, got in per.items():
-            form = self.forms[k][1]
-            if len(got) < len(set(form)):
-                continue
-            used = {at: r for r, (_, at) in got.items()}
-            if len(used) < len(set(form)):
-                continue
-            score = sum(self.idf[r] ** 2 * sim for r, (sim, _) in got.items()) / math.sqrt(norm * sum(self.idf[r] ** 2 for r in form))
-            out.append((score, k, used))
-        return out
-
-    def _ordered(self, k: int, used: dict[int, str]) -> bool:
-        form = self.forms[k][1]
-        return [used[i] for i in sorted(used)] == list(form)
+        norm = math.fsum(max((self.idf(r) for r in m), default=0 if joins(w) or stand_alone(w) else self.unknown) ** 2 for w, m in zip(words, repairs)) or 1.0
+        for form in self.forms(repairs):
+            got: dict[str, tuple[float, int]] = {}
+            for r in dict.fromkeys(form[1]):
+                for at, m in enumerate(repairs):
+                    if m.get(r, 0.0) > got.get(r, (0.0, 0))[0]:
+                        got[r] = (m[r], at)
+                if r not in got:
+                    break
+            else:
+                used = {at: r for r, (_, at) in got.items()}
+                if len(used) == len(form[1]):
+                    score = math.fsum(self.idf(r) ** 2 * sim for r, (sim, _) in got.items()) / math.sqrt(norm * math.fsum(self.idf(r) ** 2 for r in form[1]))
+                    yield score, form, used
 
     def title(self, text: str) -> tuple[int, float] | None:
         """The entry that a whole text names, with a score; None if it names none. Everything in the text must belong to
         the title, but for years and words around titles."""
         best = None
-        for words in self._reading(text):
+        for words in self.readings(text):
             drop, number = sequel(words)
             left = [w for i, w in enumerate(words) if i not in drop]
-            for score, k, used in self.candidates(left):
-                i, form, n, latin = self.forms[k]
-                rest = [w for at, w in enumerate(left) if at not in used]
-                if n != number or any(not joins(w) and not stand_alone(w) for w in rest) or len(used) != len(form):
-                    continue
-                ordered = self._ordered(k, used)
-                if latin and not ordered:
+            for score, (i, form, n, latin), used in self.candidates(left):
+                if n != number or any(not joins(w) and not stand_alone(w) for at, w in enumerate(left) if at not in used):
                     continue
-                if best is None or (score, ordered, -i) > best[0]:
-                    best = ((score, ordered, -i), i)
-        return best and (best[1], best[0][0])
+                ordered = [used[at] for at in sorted(used)] == list(form)
+                rank = (round(score, 9), ordered, -i)
+                if (ordered or not latin) and (best is None or rank > best):
+                    best = rank
+        return best and (-best[2], best[0])
 
     def named(self, text: str) -> tuple[int, float] | None:
         """The entry that a query names among other words. A number right after the title, or with a word for a part, is
-        that of a sequel unless a word for seasons or episodes claims it."""
+        that of a sequel unless a word for seasons or episodes claims it. From ``COUNTS`` on a number after the title is
+        one of lines or episodes, unless the list has that sequel."""
         best = None
-        for words in self._reading(text):
+        for words in self.readings(text):
             drop, number = sequel(words, loose=True)
             left = [(at, w) for at, w in enumerate(words) if at not in drop]
-            for score, k, used in self.candidates([w for _, w in left]):
-                i, form, n, latin = self.forms[k]
-                if latin and not self._ordered(k, used) or len(used) != len(form):
+            fitting = list(self.candidates([w for _, w in left]))
+            listed = {(form, n) for _, (_, form, n, _), _ in fitting}
+            for score, (i, form, n, latin), used in fitting:
+                ordered = [used[at] for at in sorted(used)] == list(form)
+                if latin and not ordered:
                     continue
-                places = sorted(left[at][0] for at in used)
-                after = places[-1] + 1
-                wanted = number
+                wanted, after = number, max(left[at][0] for at in used) + 1
                 if wanted is None and after < len(words) and after not in drop:
-                    w = words[after]
-                    wanted = int(w) if w.isdigit() and 1 < int(w) < 20 else ROMAN.get(w)
+                    said = numeral(words[after])
+                    if said is not None and (1 < said < COUNTS or (form, said) in listed):
+                        wanted = said
                 bare = [w for at, w in enumerate(words) if at not in drop and w.isdigit()]
                 if n != wanted and not (wanted is None and n is not None and str(n) in bare):
                     continue
-                mass = sum(self.idf[r] for r in form)
-                rank = (n == wanted, round(mass, 6), self._ordered(k, used), score, -i)
-                if best is None or rank > best[0]:
-                    best = (rank, i)
-        return best and (best[1], best[0][3])
+                rank = (n == wanted, round(math.fsum(self.idf(r) for r in form), 6), ordered, round(score, 9), -i)
+                if best is None or rank > best:
+                    best = rank
+        return best and (-best[4], best[3])
 
 
-def stem(word: str) -> str:
-    """A name's sound without the vowels it ends on, which cases change."""
-    return sp.skeleton(word).rstrip("aeiouy")
+class Reference(Matcher):
+    """A matcher on a reference list held in one process: (id, spellings). The list of any size is ``canonical.matched``."""
+
+    def __init__(self, entries: Iterable[tuple[int, list[str]]]):
+        parts = [(i, *entry_forms(spellings)) for i, spellings in entries]
+        pairs = Counter(p for _, cyrillic, latin, _ in parts for p in word_pairs(cyrillic, latin))
+        english: dict[str, str] = {}
+        for (a, b), _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
+            english.setdefault(a, b)
+        every: dict[tuple, None] = {}
+        for i, cyrillic, latin, joined in parts:
+            named = [] if latin else [(translated_form(w, english.get), n) for w, n in cyrillic]
+            every |= dict.fromkeys((i, w, n) for w, n in [*cyrillic, *latin, *named, *joined])
+        df = Counter(w for _, words, _ in every for w in set(words))
+        postings, found = defaultdict(list), defaultdict(list)
+        for i, words, n in every:
+            postings[min(words, key=lambda w: (df[w], w))].append((i, words, n, is_latin(words)))
+        for w in df:
+            for k in word_keys(w):
+                found[k].append(w)
+        idf = {w: math.log(1 + len(every) / n) for w, n in df.items()}
+
+        @lru_cache(None)
+        def repaired(token: str) -> dict[str, float]:
+            return {w: x for k in token_keys(token) for w in found.get(k, ()) if (x := likeness(token, w)) > 0}
+
+        super().__init__(repaired, idf.__getitem__, math.log(1 + len(every)), max(map(len, df), default=0), lambda repairs: [f for r in {r for m in repairs for r in m} for f in postings.get(r, ())])

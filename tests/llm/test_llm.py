@@ -161,12 +161,19 @@ def test_titles_typed_freely():
     assert {t: (f := r.named(t)) and f[0] for t in asked} == asked
 
 
-@pytest.mark.parametrize("block", [2, 100])
-def test_mapping_of_rows(spark, block):
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_mapping_of_rows(spark, monkeypatch, limit):
+    """``limit`` 0 joins everything by shuffle."""
+    monkeypatch.setattr(canonical, "BROADCAST_ROWS", limit)
     e = spark.createDataFrame([(i, s[0], s) for i, s in ENTRIES], "ord bigint, title string, spellings array<string>")
     v = spark.createDataFrame([("туманныйлабиринт", True), ("неведомое", True), ("смотреть антиквар компаса", False), (None, True)], "value string, whole boolean")
-    got = {r.value: r.ord for r in canonical.matched(v, e, block).collect()}
-    assert got == {"туманныйлабиринт": 1, "смотреть антиквар компаса": 3}
+    got = {r.value: (r.ord, round(r.score, 9)) for r in canonical.matched(v, e).collect()}
+    alone = titles.Reference(ENTRIES)
+    assert got == {"туманныйлабиринт": alone.title("туманныйлабиринт"), "смотреть антиквар компаса": alone.named("смотреть антиквар компаса")}
+    assert [x[0] for x in got.values()].count(1) == 1 and len(got) == 2
+    for parts in (1, 7, 40):
+        spread = canonical.matched(v.repartition(parts), e.repartition(parts))
+        assert {r.value: (r.ord, round(r.score, 9)) for r in spread.collect()} == got
     rows = spark.createDataFrame([(1, "туманный лабиринт"), (2, "туманныйлабиринт"), (3, "нет такого"), (4, None)], "qid bigint, t string")
     got = {r.id: r.ord for r in canonical.mapped(rows, "qid", F.col("t"), F.lit(True), e, F.lower("title")).collect()}
     assert got == {2: 1, 3: None}
