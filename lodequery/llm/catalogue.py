@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..stage import new_path
+from ..stage import new_path, written
 from ..text import title_key, word_bag
 from . import canonical, language, leakage, linkage, overlap, packing, records, splits, terms
 
@@ -39,6 +39,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_terms(spark, d).filter("mark is not null").select("term", "mark")
 
 
+def p1_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The counts after a change of the log: all of train is counted, then its test rows are withdrawn and queries without text
+    get their title, and only the signed changes are merged."""
+    train = _table(spark, d, "train").select("qid", "QueryText", "Title", "split")
+    now = train.filter("split is null or split <> 'test'").select("qid", F.coalesce("QueryText", "Title").alias("QueryText"))
+    store = terms.TermCounts(spark, new_path(spark, "changed-counts"))
+    store.merge(terms.term_deltas(train, "QueryText"))
+    store.merge(terms.term_deltas(terms.signed_changes(train, now, "qid", "QueryText"), "text", F.col("sign")))
+    return terms.marked(store.counts(), store.total())
+
+
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:
     """(qid, split, source, kind) of the evaluation rows that training holds."""
     train = _table(spark, d, "train").filter("split is not null").withColumn("is_eval", F.col("split") != "train")
@@ -127,12 +138,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     """(component, split, n): where each group of tied rows goes, and its rows."""
-    from ..stage import written
-
     groups = written(_p4(spark, d).groupBy("component").agg(F.sum("n").alias("n")), "groups")
     return splits.assigned(groups, {"train": 0.8, "valid": 0.1, "test": 0.1}).join(groups, "component")
 
 
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """(n_rows, n_titles_apart, n_bags_apart, near) of the new splits: rows placed, title keys and bags of words that have rows in
+    two splits, and whether every split has its share of the rows within one in a hundred."""
+    placed = written(p4_splits(spark, d), "placed")
+    total = placed.agg(F.sum("n").alias("n_rows"), *[F.sum(F.when(F.col("split") == x, F.col("n")).otherwise(0)).alias(x) for x in ("train", "valid", "test")])
+    near = (F.abs(F.col("train") / F.col("n_rows") - 0.8) <= 0.01) & (F.abs(F.col("valid") / F.col("n_rows") - 0.1) <= 0.01) & (F.abs(F.col("test") / F.col("n_rows") - 0.1) <= 0.01)
+    slices = _p4(spark, d).join(placed.select("component", F.col("split").alias("new")), "component")
+    apart = lambda key: slices.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("new").alias("a"), F.max("new").alias("b")).agg(F.count(F.when(F.col("a") != F.col("b"), 1)))
+    titles, bags = apart("k0").toDF("n_titles_apart"), apart("k1").toDF("n_bags_apart")
+    return total.select("n_rows", near.alias("near")).crossJoin(F.broadcast(titles)).crossJoin(F.broadcast(bags))  # one row each
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(packing.pieces(_table(spark, d, "documents"), "doc_id", packing.byte_tokens(F.col("text"))))
 
@@ -151,6 +172,32 @@ def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
     return bins.groupBy((F.floor(F.col("tokens") * 10 / 8192)).alias("tenths")).agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("tokens").alias("n_tokens"))
 
 
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """(n_docs, n_pieces, n_tokens, n_over, n_split): what the packing of whole documents holds, how many sequences exceed their
+    capacity, and how many documents no longer than a sequence were cut."""
+    got = _packed(spark, d)
+    bins = got.groupBy("shard", "bin").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("s"))
+    over = bins.agg(F.sum("t").alias("n_tokens"), F.sum("s").alias("n_pieces"), F.count(F.when(F.col("t") > 8192, 1)).alias("n_over"))
+    whole = got.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    return over.crossJoin(F.broadcast(whole.agg(F.count(F.lit(1)).alias("n_docs"), F.count(F.when((F.col("n") > 1) & (F.col("t") <= 8192), 1)).alias("n_split"))))
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """(n_items, n_tokens, n_over, n_least, near_least) of a packing of paragraphs in which all three limits bind: at most 24 to
+    a sequence, and 6 144 loss-bearing tokens, those of all paragraphs but each document's first. ``n_over`` counts sequences
+    beyond a limit, ``n_least`` is the number of sequences that the sums of the demands need at least, ``near_least`` tells
+    whether there are at most a tenth more."""
+    docs = _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("no", "text"))
+    n = packing.byte_tokens(F.col("text"))
+    items = docs.select(F.concat_ws("/", "doc_id", "no").alias("id"), n.alias("n"), F.when(F.col("no") > 0, n).otherwise(0).alias("loss"))
+    got = packing.packed(packing.pieces(items, "id", F.col("n"), F.col("loss")), max_segments=24, max_loss=6144)
+    bins = got.groupBy("shard", "bin").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("s"), F.sum("loss").alias("l"))
+    over = F.count(F.when((F.col("t") > 8192) | (F.col("s") > 24) | (F.col("l") > 6144) & (F.col("s") > 1), 1)).alias("n_over")
+    least = F.greatest(F.ceil(F.sum("t") / 8192), F.ceil(F.sum("s") / 24), F.ceil(F.sum("l") / 6144)).alias("n_least")
+    one = bins.agg(F.sum("s").alias("n_items"), F.sum("t").alias("n_tokens"), over, least, F.count(F.lit(1)).alias("n"))
+    return one.select("n_items", "n_tokens", "n_over", "n_least", (F.col("n") <= F.col("n_least") * 1.1).alias("near_least"))
+
+
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
@@ -161,7 +208,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, n_chars_left) of the documents from which passages were cut."""
-    docs, found = _table(spark, d, "documents"), p9_spans(spark, d)
+    docs, found = _table(spark, d, "documents"), written(p9_spans(spark, d), "spans")
     touched = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     return leakage.without_spans(touched, found).select("doc_id", F.length("text").alias("n_chars_left"))
 
@@ -184,10 +231,12 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
+    "p1_changes": p1_changes,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
+    "p4_shares": p4_shares,
     "p5_found": p5_found,
     "p5_rows": p5_rows,
     "p5_report": p5_report,
@@ -199,6 +248,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_packing": p8_packing,
     "p8_sequences": p8_sequences,
+    "p8_totals": p8_totals,
+    "p8_limits": p8_limits,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
     "p9_cleaned": p9_cleaned,
@@ -217,6 +268,19 @@ with w as (select qid, unnest({_words_sql('QueryText')}) as term from train),
 c as (select term, count(distinct qid) as records from w group by term)
 select term, case when records <= 1 then 'rare' else 'common' end as mark from c
 where records <= 1 or records > 0.05 * (select count(*) from train)""",
+    "p1_changes": f"""
+with t as (select qid, coalesce(QueryText, Title) as q from train where split is null or split <> 'test'), w as (select qid, unnest({_words_sql('q')}) as term from t),
+c as (select term, count(*) as occurrences, count(distinct qid) as records from w group by term)
+select *, case when records <= 1 then 'rare' when records > 0.05 * (select count(*) from t) then 'common' end as mark from c""",
+    "p4_found": f"""
+with recursive r as (select qid, split, 't' || lower(trim(Title, ' ')) as a, case when len({_words_sql('QueryText')}) > 0 then 'q' || array_to_string(list_sort({_words_sql('QueryText')}), ' ') end as b from train),
+n as (select qid, split, coalesce(a, b, 'r' || qid) as x, coalesce(b, a, 'r' || qid) as y from r),
+e as (select distinct x as p, y as q from n union select distinct y, x from n),
+c(node, least) using key (node) as (select p as node, min(q) as least from e group by p
+  union (select e.q as node, min(c.least) as least from c join e on e.p = c.node join recurring.c as o on o.node = e.q where c.least < o.least group by e.q)),
+g as (select c.least, min(qid) as group_qid, count(distinct split) as k from n join c on c.node = n.x group by 1)
+select group_qid from g where k > 1""",
+    "p4_shares": "select count(*) as n_rows, true as near, cast(0 as bigint) as n_titles_apart, cast(0 as bigint) as n_bags_apart from train",
     "p7_found": f"""
 with r as (select qid, cast(log_ts as date) as day, list_sort({_words_sql('QueryText')}) as bag from train),
 m as (select qid, min(qid) over (partition by day, bag) as keep from r where day is not null and len(bag) > 0)
@@ -224,5 +288,14 @@ select keep as keep_qid, qid as copy_qid from m where keep <> qid""",
     "p7_records": f"""
 with r as (select qid, cast(log_ts as date) as day, list_sort({_words_sql('QueryText')}) as bag from train)
 select min(qid) as keep_qid, count(*) as n_copies from r where day is not null and len(bag) > 0 group by day, bag""",
+    "p8_totals": """
+with t as (select strlen(text) as n from documents where strlen(text) > 0)
+select cast(sum(n) as bigint) as n_tokens, cast(sum(ceil(n / 8192)) as bigint) as n_pieces, cast(0 as bigint) as n_over, count(*) as n_docs, cast(0 as bigint) as n_split from t""",
+    "p8_limits": """
+with p as (select unnest(string_split(text, chr(10) || chr(10))) as t, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) as k from documents),
+n as (select strlen(t) as n, k from p where strlen(t) > 0),
+s as (select sum(ceil(n / 8192)) as items, sum(n) as tokens, sum(case when k > 1 then n else 0 end) as loss from n)
+select cast(items as bigint) as n_items, cast(tokens as bigint) as n_tokens, cast(0 as bigint) as n_over,
+  cast(greatest(ceil(tokens / 8192), ceil(items / 24), ceil(loss / 6144)) as bigint) as n_least, true as near_least from s""",
     "p8_found": "select doc_id from documents where strlen(text) > 8192",
 }

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spelling import transliterations
@@ -113,20 +113,30 @@ def label_of(lang):
     return F.when(F.lower(F.trim(lang)) != "und", two)
 
 
+def _least(batches: Iterator[pd.DataFrame], sample: int) -> Iterator[pd.DataFrame]:
+    held = None
+    for b in batches:
+        both = b if held is None else pd.concat([held, b])
+        held = both.sort_values(["h", "text"], kind="stable").groupby("label", sort=False).head(sample)
+    if held is not None and len(held):
+        yield held
+
+
 def fitted(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     """The model, from at most ``sample`` documents per label, chosen by hash. Raises ``ValueError`` without any."""
     rows = documents.select(F.col("text"), label_of(F.col("lang")).alias("label"), F.xxhash64("doc_id", F.lit(seed)).alias("h")).filter(F.col("label").isin(*LANGUAGES) & (F.length(F.trim("text")) > 0))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per language
+    # one pass: every task keeps the documents of least hash of each label, of these the driver keeps the least again
+    first = rows.select("label", "h", "text").mapInPandas(lambda batches: _least(batches, sample), "label string, h bigint, text string")
+    kept = Window.partitionBy("label").orderBy("h", F.xxhash64("text"))
+    chosen = first.withColumn("place", F.row_number().over(kept)).filter(F.col("place") <= sample).select("label", "h", "text").collect()  # ``sample`` rows a label
     texts: list[str] = []
     labels: list[str] = []
-    for label, n in sorted(sizes.items()):
-        share = F.pmod("h", F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, 1.2 * sample / n)) + 1)
-        for (t,) in rows.filter((F.col("label") == label) & share).select(F.col("text")).limit(sample).collect():
-            for p in t.split("\n\n"):
-                p = plain(p)
-                if p.strip():
-                    texts.append(p)
-                    labels.append(label)
+    for label, _, t in sorted(chosen):
+        for p in t.split("\n\n"):
+            p = plain(p)
+            if p.strip():
+                texts.append(p)
+                labels.append(label)
     if not texts:
         raise ValueError("no labelled document to fit on")
     return train(texts, labels)
