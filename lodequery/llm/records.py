@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..skew import lookup_join
 from ..stage import written
 from ..text import words
 
@@ -25,11 +24,11 @@ def _leaf(c: Column, kind: T.DataType) -> Column:
 
 def normalised(c: Column, kind: T.DataType, unordered: Iterable[str] = (), path: str = "") -> Column:
     """The normalised structure as a string, the same for records that differ only in formatting or in the order of
-    unordered nodes. A null node differs from an empty one. ``unordered``: dotted paths of arrays, or of strings whose
+    unordered nodes. Fields stand in the order of their names, which are left out, as all records have the same. A null node differs from an empty one. ``unordered``: dotted paths of arrays, or of strings whose
     words count in any order."""
     loose = path in set(unordered)
     if isinstance(kind, T.StructType):
-        parts = [F.concat(F.lit(f"{f.name.lower()}="), normalised(c[f.name], f.dataType, unordered, f"{path}.{f.name}".strip("."))) for f in sorted(kind.fields, key=lambda f: f.name.lower())]
+        parts = [normalised(c[f.name], f.dataType, unordered, f"{path}.{f.name}".strip(".")) for f in sorted(kind.fields, key=lambda f: f.name.lower())]
         text = F.concat(F.lit("{"), F.concat_ws(";", *parts), F.lit("}"))
     elif isinstance(kind, T.MapType):
         entries = F.transform(F.map_entries(c), lambda e: F.concat(normalised(e["key"], kind.keyType), F.lit("="), normalised(e["value"], kind.valueType)))
@@ -73,12 +72,24 @@ def collapsed(rooted_rows: DataFrame, id_col: str) -> DataFrame:
     return rooted_rows.groupBy("digest", "form").agg(F.min(id_col).alias("keep"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def copies(rooted_rows: DataFrame, id_col: str) -> DataFrame:
-    """(keep, copy) for every row that is not the kept one of its record.
+def copies(rooted_rows: DataFrame, id_col: str, coarse: int = 4096) -> DataFrame:
+    """(keep, copy) for every row that is not the kept one of its record; the ids must be unique.
 
-    The ids must be unique. A record that holds a large share of all rows is joined by broadcast, see ``lookup_join``."""
+    Rows are shuffled once, by their record, and each gets the least id of its record. Records that hold a large share of
+    all rows are left out of that: rows are first counted in ``coarse`` ranges of digests, records of ranges that may hold
+    such a one are counted exactly, and the large ones are joined by broadcast."""
     rows = written(rooted_rows.select(F.col(id_col).alias("copy"), "digest", "form"), "digests")
-    total = rows.count()
-    sets = collapsed(rows, "copy").filter("n_rows > 1").withColumn("key", F.struct("digest", "form")).drop("digest", "form")
-    keyed = rows.select("copy", F.struct("digest", "form").alias("key"))
-    return lookup_join(keyed, written(sets, "record-sets"), "key", max(1000, total // 1000)).filter("copy <> keep").select("keep", "copy")
+    range_ = F.pmod("digest", F.lit(coarse)).cast("int").alias("range")
+    ranges = rows.groupBy(range_).agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``coarse`` rows
+    heavy = max(1000, sum(r["n"] for r in ranges) // 1000)
+    full = [r["range"] for r in ranges if r["n"] >= heavy]
+    each = Window.partitionBy("digest", "form")
+    if not full:
+        cold, hot = rows, None
+    else:
+        hot = written(collapsed(rows.filter(range_.isin(full)), "copy").filter(F.col("n_rows") >= heavy), "large-records")
+        cold = rows.join(F.broadcast(hot.select("digest", "form")), ["digest", "form"], "left_anti")
+    found = cold.select(F.min("copy").over(each).alias("keep"), "copy")
+    if hot is not None:
+        found = found.unionByName(rows.join(F.broadcast(hot), ["digest", "form"]).select("keep", "copy"))
+    return found.filter("copy <> keep")
