@@ -118,24 +118,22 @@ def similar_pairs(titles: DataFrame, least: float = 85.0, inside: float = 70.0)
     return met.withColumn("score", score).filter((F.col("score") >= least) | ((F.col("score") >= inside) & holds)).select("i", "j")
 
 
-def leaders(titles: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def leaders(titles: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ord, leader): each title's leader when titles are taken in order and each one not yet taken leads all later similar
-    ones. Leaders are the titles with no earlier similar leader; each round settles those with no earlier open neighbour."""
+    ones. Leaders are the titles with no earlier similar leader; each round settles those with no earlier open neighbour and
+    what they lead, the first open title at least, so it ends; there are as many rounds as the longest chain of titles each
+    similar to the next needs."""
     edges = written(pairs.select("i", "j"), "similar")
     nodes = titles.select("ord")
     open_ = written(edges.select(F.col("i").alias("ord")).union(edges.select(F.col("j"))).distinct(), "open")
     done = nodes.join(open_, "ord", "left_anti").select("ord", F.col("ord").alias("leader"))
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         live = edges.join(open_.select(F.col("ord").alias("i")), "i").join(open_.select(F.col("ord").alias("j")), "j")
         lead = open_.join(live.select(F.col("j").alias("ord")).distinct(), "ord", "left_anti")
         taken = live.join(lead.select(F.col("ord").alias("i")), "i").groupBy(F.col("j").alias("ord")).agg(F.min("i").alias("leader"))
         settled = written(lead.select("ord", F.col("ord").alias("leader")).unionByName(taken), "settled")
         done = done.unionByName(settled)
         open_ = written(open_.join(settled, "ord", "left_anti"), "open")
-    else:
-        raise RuntimeError("leaders did not settle")
     return done
 
 

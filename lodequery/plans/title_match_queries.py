@@ -36,7 +36,9 @@ def _match(step):
 
 
 def _leaders(s: SparkSession, d: str) -> DataFrame:
-    titles = _catalog(s, d).select("ord", qt.normalize(F.col("title")).alias("title"), "cnt")
+    """The titles of train by normal form, in the order of their first rows."""
+    keys = cat.grouped(_train(s, d)).select("ord", qt.normalize(F.col("title")).alias("title"), "cnt").filter("title <> ''")
+    titles = written(keys.groupBy("title").agg(F.min("ord").alias("ord"), F.sum("cnt").alias("cnt")), "titles")
     return cat.clustered(titles, cat.leaders(titles, cat.similar_pairs(titles)))
 
 
@@ -48,11 +50,11 @@ def _merge(s: SparkSession, d: str) -> DataFrame:
 
 def _typos(s: SparkSession, d: str) -> DataFrame:
     choices = _catalog(s, d).select("ord", qt.normalize(F.col("title")).alias("choice"))
-    return cat.typo_dictionary(table(s, d, "test_public_queries"), choices).withColumn("score", F.round("score", 6))
+    return cat.typo_dictionary(_train(s, d), choices).withColumn("score", F.round("score", 6))
 
 
 def _spans(s: SparkSession, d: str) -> DataFrame:
-    found = matching.cascade(_public(s, d), _catalog(s, d), with_fuzzy=False)
+    found = matching.cascade(_public(s, d), _catalog(s, d))
     return found.join(_public(s, d), "id").select("id", "title", matching.span(F.col("query"), F.col("title")).alias("span"))
 
 
@@ -92,10 +94,11 @@ def _dense(s: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(top titles, edges, nodes); nothing but the words of titles is written before one of them is used."""
     top = written(graph.top_titles(_train(s, d)), "top")
     every = written(graph.title_words(_train(s, d), top), "words")
     words = graph.word_links(every)
-    return top, written(graph.edges(words, graph.title_links(every)), "edges"), written(graph.nodes(words, top), "nodes")
+    return top, graph.edges(words, graph.title_links(every)), graph.nodes(words, top)
 
 
 def _title_links(s: SparkSession, d: str) -> DataFrame:
@@ -109,13 +112,14 @@ def _words_of(s: SparkSession, d: str) -> DataFrame:
 def _walk(step):
     def query(s: SparkSession, d: str) -> DataFrame:
         _, links, kinds = _graph(s, d)
-        return step(_words_of(s, d), links, kinds)
+        return step(_words_of(s, d), written(links, "edges"), written(kinds, "nodes"))
 
     return query
 
 
 def _graph_top(s: SparkSession, d: str) -> DataFrame:
     _, links, kinds = _graph(s, d)
+    links, kinds = written(links, "edges"), written(kinds, "nodes")
     types = cat.grouped(_train(s, d)).select("title", "content_type")
     return graph.matched(_documents(s, d).withColumnRenamed("text", "query"), links, kinds, types).withColumn("confidence", F.round("confidence", 6))
 
