@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import features as feat
 from ..functions import lexicons as L
 from ..functions import query_text as qt
-from ..operators import evaluation, graph, vectors
+from ..operators import ensemble, evaluation, graph, models, process, vectors
 from ..stage import written
 from . import score_queries as sq
 from . import text_queries as tq
@@ -33,6 +34,37 @@ def _holdout(s: SparkSession, d: str) -> DataFrame:
     return counts.select("title", "n", F.when(F.col("alone"), F.col("n_valid")).otherwise(-1).alias("n_valid"), (F.col("alone") | F.col("n_valid").isin(0) | (F.col("n_valid") == F.col("n"))).alias("whole"))
 
 
+def _guesses(s: SparkSession, d: str) -> DataFrame:
+    """Scores of predictions made from the text alone: type by signals, label by hints, the text itself as title."""
+    train = table(s, d, "train")
+    hint = qt.content_type(feat.type_hint(F.col("QueryText"))["label"])
+    made = train.select("qid", feat.heuristic_type(F.col("QueryText")).alias("TypeQuery"), qt.normalize(F.col("QueryText")).alias("Title"), hint.alias("ContentType"))
+    got = evaluation.scores(train.withColumn("ContentType", qt.content_type(F.col("ContentType"))), made, "qid")
+    return got.select(*[F.round(c, 6).alias(c) for c in ("f2", "macro_f1", "title_f1", "combined")], "n_false_positive", "n_false_negative", "n_exact_titles", "n_positive")
+
+
+def _evaluated(s: SparkSession, d: str) -> DataFrame:
+    """Scores of the whole cascade on a holdout of train whose titles the fitted parts have not seen."""
+    rows = written(evaluation.group_holdout(table(s, d, "train"), "qid", F.lower(F.trim("Title")), "TypeQuery", 0.2), "holdout")
+    held = rows.filter("valid")
+    made = ensemble.predicted(held.select(F.col("qid").alias("id"), "QueryText"), table(s, d, "title_catalog"), ensemble.branches(rows.filter("not valid"), table(s, d, "title_catalog")))
+    got = evaluation.scores(held, written(made.withColumnRenamed("id", "qid"), "predictions"), "qid")
+    return got.select(*[F.round(c, 4).alias(c) for c in ("f2", "macro_f1", "title_f1", "combined")], "n_false_positive", "n_false_negative", "n_exact_titles", "n_positive")
+
+
+def _boosted(s: SparkSession, d: str) -> DataFrame:
+    """The public queries scored by the boosted model of TypeQuery."""
+    model = models.type_query_model(table(s, d, "train").filter("QueryText is not null and TypeQuery is not null"), boosted=True)
+    return models.type_query_scores(model, table(s, d, "test_public_queries").select("qid", "QueryText")).select("qid", F.round("score", 4).alias("score"))
+
+
+def _processed(s: SparkSession, d: str) -> DataFrame:
+    """Films' titles searched for in the catalog as typed, prepared by ``default_process``."""
+    typed = table(s, d, "kinopoisk_top250").select(F.col("kp_id").alias("id"), F.col("movie").alias("query"))
+    choices = table(s, d, "title_catalog").select("ord", F.col("title").alias("choice"))
+    return process.extract_one(typed, choices, "ratio", 70, processor=qt.default_process).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
     "corpus_texts": _corpus,
     "corpus_terms": lambda s, d: vectors.corpus_vocabulary(_corpus(s, d)).select("term", "df", F.round("idf", 6).alias("idf")),
@@ -41,6 +73,10 @@ QUERIES = {
     "kg_query_hop1": tm._walk(graph.one_step),
     "kg_query_hop2": tm._walk(graph.two_steps),
     "holdout_groups": _holdout,
+    "evaluate_guesses": _guesses,
+    "evaluate_cascade": _evaluated,
+    "typequery_boosted": _boosted,
+    "extract_processed": _processed,
 }
 
 _WORD = r"[\pL\pM\p{Nd}\p{Pc}]"
@@ -104,6 +140,8 @@ step as (select id, a, b, 0 as i, [0 for j in range(0, length(b) + 1)] as r from
   union all select id, a, b, i + 1, list_reduce([[j] for j in range(1, length(b) + 1)], lambda cur, j: cur || [case when substr(a, i + 1, 1) = substr(b, j[1], 1) then r[j[1]] + 1 else greatest(r[j[1] + 1], cur[len(cur)]) end], [0]) from step where i < length(a)),
 l as (select id, a, b, r[len(r)] as n from step where i = length(a))"""
 
+_processed_sql = lambda x: tq.ORACLES["default_process"].split("select qid, ")[1].split(" as processed")[0].replace("QueryText", x)
+
 ORACLES = {
     "query_year": f"with y as (select regexp_extract(coalesce(QueryText, ''), '{_YEAR}', 1) as year from train) select year, count(*) as n from y where year <> '' group by year",
     "catalog_year": _stated(_YEAR),
@@ -144,4 +182,14 @@ q as (select row_number() over () as id, k.id as kid, ord, query as a, choice as
 {_lcs_step.format('q')},
 s as (select kid, ord, q.b as choice, case when length(q.a) + length(q.b) = 0 then 100.0 else 200.0 * n / (length(q.a) + length(q.b)) end as score from q join l using (id)),
 r as (select *, row_number() over (partition by kid order by score desc, ord) as rn from s where score >= 70) select kid as id, ord, choice, round(score, 6) as score from r where rn = 1""",
+    "evaluate_guesses": f"""
+with {sq._PRED}, {sq._FB}, {sq._CLASS}, {sq._TF1} select round((select f_beta from g), 6) as f2, round((select avg(f1) from k), 6) as macro_f1, round((select avg(f1) from f), 6) as title_f1,
+  round(0.35 * (select f_beta from g) + 0.30 * (select avg(f1) from k) + 0.35 * (select avg(f1) from f), 6) as combined, (select fp from b) as n_false_positive, (select fn from b) as n_false_negative,
+  (select count(*) from f where len(tw) > 0 and list_sort(tw) = list_sort(pw)) as n_exact_titles, (select count(*) from f) as n_positive""",
+    "extract_processed": f"""
+with recursive k as (select kp_id as id, {_processed_sql('movie')} as query from kinopoisk_top250 where movie is not null), c as (select ord, title, {_processed_sql('title')} as choice from title_catalog),
+q as (select row_number() over () as id, k.id as kid, ord, title, query as a, choice as b from k, c where 200 * least(length(query), length(choice)) >= 70 * (length(query) + length(choice))),
+{_lcs_step.format('q')},
+s as (select kid, ord, title, case when length(q.a) + length(q.b) = 0 then 100.0 else 200.0 * n / (length(q.a) + length(q.b)) end as score from q join l using (id)),
+r as (select *, row_number() over (partition by kid order by score desc, ord) as rn from s where score >= 70) select kid as id, ord, title as choice, round(score, 6) as score from r where rn = 1""",
 }
