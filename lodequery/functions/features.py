@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,18 +11,25 @@ from . import lexicons as L
 from .query_text import is_latin, normalize, tokens
 
 
+def _bound(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a text that is evaluated once, however often it occurs there."""
+    return F.transform(F.array(text), use)[0]
+
+
+def _list(words: Iterable[str]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
 def markers_in(text: Column, markers: Iterable[str]) -> Column:
     """How many of the markers are substrings of the text; repeated and overlapping ones each count."""
-    return sum((F.contains(text, F.lit(m)).cast("int") for m in markers), F.lit(0))
+    return _bound(text, lambda t: F.size(F.filter(_list(markers), lambda m: F.contains(t, m))))
 
 
 def any_of(text: Column, markers: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for m in markers:
-        out = out | F.contains(text, F.lit(m))
-    return out
+    return _bound(text, lambda t: F.exists(_list(markers), lambda m: F.contains(t, m)))
 
 
+# The patterns of a season and an episode, and the names of the features in their order.
 _SEASON = r"([0-9]+)\s*(?:сезон|season|s\b)"
 _EPISODE = r"([0-9]+)\s*(?:серия|эпизод|episode|eps\b)"
 YEAR = "(?:^| )(19[5-9][0-9]|20[0-2][0-9])(?: |$)"
@@ -62,10 +69,6 @@ def heuristic_type(raw: Column) -> Column:
     return (markers_in(low, L.VIDEO_SIGNALS) > markers_in(low, L.OTHER_SIGNALS)).cast("int")
 
 
-def _list(words: Iterable[str]) -> Column:
-    return F.array(*map(F.lit, words))
-
-
 def is_generic(raw: Column) -> Column:
     """Whether a query names no work in particular: no word beyond generic ones and numbers, or one or two of them beside
     a word for a whole category."""
