@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -450,6 +451,66 @@ def column(name: str, cutoff: float | None = None) -> Callable[[Column, Column],
     return scored
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each of 64 classes of characters occurs in each text; the first is that of spaces."""
+    out = np.zeros((len(texts), 64), np.int16)
+    for i, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        out[i] = np.bincount(np.where(codes == 32, 0, codes % 63 + 1), minlength=64)
+    return out
+
+
+def weighted_above(a: list[str], b: list[str], least: np.ndarray, words: np.ndarray, joined: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """:func:`weighted_ratio` of each pair of texts in normal form where it is at least ``least``, else 0. ``words`` and
+    ``joined``: how many words the two share and how long these are, joined by spaces; ``repeats``: whether either repeats a
+    word.
+
+    Letters that only one of two texts has must be edited, which bounds all ratios from above; pairs that cannot reach
+    ``least`` are not compared, nor are those whose score a shared word decides."""
+    out = np.zeros(len(a))
+    if not len(a):
+        return out
+    (x, i), (y, j) = (np.unique(np.array(t, object), return_inverse=True) for t in (a, b))
+    counts_a, counts_b = _letters(list(x)), _letters(list(y))
+    size_a, size_b = np.array([len(t) for t in x])[i], np.array([len(t) for t in y])[j]
+    apart = np.abs(counts_a[i] - counts_b[j])
+    edits, no_spaces = apart.sum(axis=1, dtype=np.int64), apart[:, 1:].sum(axis=1, dtype=np.int64)
+    total, short = size_a + size_b, np.minimum(size_a, size_b)
+    some = (size_a > 0) & (size_b > 0)
+    total_1, short_1 = np.maximum(total, 1), np.maximum(short, 1)
+    plain = 100 - 100 * edits / total_1
+    rest_a, rest_b = size_a - joined - 1, size_b - joined - 1
+    by_words = np.where(words > 0, 100 - 100 * (1 + np.maximum(np.minimum(rest_a, rest_b), 0)) / np.maximum(joined + np.where(rest_a <= rest_b, size_a, size_b), 1), 0)
+    by_words = np.where((words > 0) & (np.minimum(rest_a, rest_b) < 0), 100, by_words)
+    by_sets = np.where(repeats, 100, np.maximum(np.maximum(plain, 100 - 100 * no_spaces / total_1), by_words))
+    far = np.maximum(size_a, size_b) / short_1
+    same = (total - edits) / 2
+    part = np.where(repeats, 100, 200 * same / (short_1 + same))
+    scale = np.where(far <= 8, 0.9, 0.6)
+    by_part = np.where(words > 0, 100, part) * 0.95 * scale
+    most = np.where(far < 1.5, np.maximum(plain, by_sets * 0.95), np.maximum(np.maximum(plain, part * scale), by_part))
+    # a shared word gives far texts a fixed score, and unless they hold nearly the same letters nothing else exceeds it
+    given = (far >= 1.5) & (words > 0) & (np.maximum(plain, part * scale) <= 100 * 0.95 * scale - 1e-6)
+    out[given & some] = (100 * 0.95 * scale)[given & some]
+    for k in np.flatnonzero(some & ~given & (most >= least - 1e-6)):
+        out[k] = weighted_ratio(a[k], b[k], float(least[k]))
+    return np.where(out >= least, out, 0.0)
+
+
+def weighted_column(a: Column, b: Column, least: Column) -> Column:
+    """:func:`weighted_above` of two columns in normal form; null gives 0."""
+
+    @F.pandas_udf("double")
+    def scored(a: pd.Series, b: pd.Series, least: pd.Series, words: pd.Series, joined: pd.Series, repeats: pd.Series) -> pd.Series:
+        return pd.Series(weighted_above(a.tolist(), b.tolist(), least.to_numpy(), words.to_numpy(), joined.to_numpy(), repeats.to_numpy(bool)))
+
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    x, y = (F.filter(F.split(t, " "), lambda w: w != "") for t in (a, b))
+    both = F.array_intersect(x, y)
+    repeats = (F.size(F.array_distinct(x)) < F.size(x)) | (F.size(F.array_distinct(y)) < F.size(y))
+    return scored(a, b, least, F.size(both), F.length(F.array_join(both, " ")), repeats)
+
+
 def script_column(kind: str = "levenshtein") -> Callable[[Column, Column], Column]:
     """Edit scripts as an array of steps (explode it for one row per step); null for null. Kinds: levenshtein, indel, hamming."""
     make = {"levenshtein": editops, "indel": lambda a, b: editops(a, b, replace=False), "hamming": hamming_editops}[kind]

@@ -1,11 +1,13 @@
 """Written intermediate tables.
 
 Lineage is cut with tables in the shared folder named by ``spark.checkpoint.dir``, so a lost executor only costs a
-re-read. Where the setting is missing (tests, a laptop) and the master is local, a folder of our own is used.
+re-read. Where the setting is missing (tests, a laptop) and the master is local, a folder of our own is used and removed at the end.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_KEY} to a folder that all executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lodequery-")
+        own = tempfile.mkdtemp(prefix="lodequery-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own[app] = "file://" + own
     return _own[app]
 
 
