@@ -306,3 +306,15 @@ def test_unequal_dates_stay_apart(spark):
     df = spark.createDataFrame([(1, dt.date(2023, 1, 1), "a b"), (2, dt.date(2023, 1, 2), "b a"), (3, dt.date(2023, 1, 1), "B, a")], "id bigint, day date, t string")
     got = records.copies(records.rooted(df, F.struct("day", "t"), ["t"]), "id").collect()
     assert [(r.keep, r["copy"]) for r in got] == [(1, 3)]
+
+
+def test_swapped_keys_with_many_marks():
+    known = {"w:" + w: w for w in "последний волк жуткой пустыни без любви и воды сезон бюро".split()}
+    typed = "gjcktlybq;djkr;;enrjq;gecnsyb;,tp;k.,db;b;djls;10;ctpjy;,.hj"
+    want = "последний волк жуткой пустыни без любви и воды 10 сезон бюро".split()
+    assert keyed.meant(typed, known.get) == want
+    assert {"w:" + w for w in want if w != "10"} <= set(keyed.lookups(typed))
+    assert keyed.key_reading("djkr;yt", lambda w: 0 if w == "волк" else None) is None
+    assert keyed.key_reading(typed, lambda w: 0 if w in want else len(w)) == want
+    for n in (10, 400):
+        assert keyed.key_reading(";".join(["djkr"] * n), lambda w: 0 if w == "волк" else None, longest=20) == ["волк"] * n
